@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"  # a word of the contracts: no space, no \t \n \v \f \r
@@ -30,8 +30,37 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below the shared root."""
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new, empty folder below the shared root."""
+    uri = f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+    return uri
+
+
+def remove(spark: SparkSession, uri: str) -> None:
+    """Deletes a folder or file of the shared root."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def kept_table(df: DataFrame, uri: str) -> DataFrame:
+    """Writes ``df`` as Parquet and reads it again: a lineage cut for tables that are large or read by columns."""
+    df.write.parquet(uri)
+    return df.sparkSession.read.parquet(uri)
+
+
+def running(rows: DataFrame, by: list[str], size: str, order: list[Column]) -> DataFrame:
+    """Adds ``before``: the sum of ``size`` over the rows before this one, in each group of ``by``, by ``bucket``, then ``order``.
+
+    Two levels, so that no task gets a whole group: each row has a ``bucket``; the buckets' sums are few and are added up first,
+    then each bucket is added up by itself.
+    """
+    w = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*by, "bucket").agg(F.sum(size).alias("s"))
+    starts = sums.withColumn("base", F.coalesce(F.sum("s").over(w), F.lit(0))).drop("s")
+    inner = Window.partitionBy(*by, "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.withColumn("own", F.coalesce(F.sum(size).over(inner), F.lit(0)))
+    return own.join(starts, [*by, "bucket"]).withColumn("before", F.col("base") + F.col("own")).drop("base", "own")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -75,7 +104,7 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[p
 
 def in_blocks(rows: DataFrame, keys: list[str], spread: Column, block: int) -> DataFrame:
     """Splits hot groups: rows of a group of n go to ceil(n / block) blocks by ``spread``, and each pair of blocks
-    becomes a group of its own in column ``pair``. Groups of one row vanish, as nothing is to be compared there.
+    becomes a group of its own in column ``pair``; ``b`` is a row's block, ``own`` marks the pairs of a block with itself. Groups of one row vanish, as nothing is to be compared there.
 
     Any two rows of a group meet in at least one pair, so no comparison is lost; a group never holds more than about
     2 * block rows. The sizes are counted with partial aggregation and then cut, so both sides of the join are
@@ -85,7 +114,9 @@ def in_blocks(rows: DataFrame, keys: list[str], spread: Column, block: int) -> D
     j = rows.join(sizes, keys).withColumn("nb", F.ceil(F.col("n") / block).cast("int"))
     j = j.withColumn("b", F.pmod(spread, F.col("nb")).cast("int"))
     j = j.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)")))
-    return j.withColumn("pair", F.least("b", "o") * F.col("nb") + F.greatest("b", "o")).drop("n", "nb", "b", "o")
+    j = j.withColumn("pair", F.least("b", "o") * F.col("nb") + F.greatest("b", "o"))
+    # The group (b, b) is of the block alone; b and o are the same in all its rows.
+    return j.withColumn("own", F.col("pair") % (F.col("nb") + 1) == 0).drop("n", "nb", "o")
 
 
 def spanning(nodes: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -149,7 +149,7 @@ class Unigram:
         kept = self.kept
         if len(kept) > KEPT:
             kept.clear()
-        for k in set(keys) - kept.keys():
+        for k in [k for k in set(keys) if k not in kept]:
             kept[k] = self._word(k)
         return b"".join(map(kept.__getitem__, keys))
 

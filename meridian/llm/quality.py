@@ -33,7 +33,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         _terms.clear()
     words = (text or "").split()
     counts = Counter(words)
-    for w in counts.keys() - _terms.keys():
+    for w in [w for w in counts if w not in _terms]:
         _terms[w] = _term(w)
     if not words:
         return np.zeros(0, np.int32), np.zeros(0)

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, quality, sharding, simhash
+from . import idstore, mixing, pieces, quality, sharding, simhash, topk, vectors, warc
 from .common import table
 
 
@@ -16,6 +16,7 @@ def _vocabulary(name: str) -> str:
     return f"{folder}/{name}"
 
 
+BYTE_BPE = _vocabulary("byte_bpe_50k.json")
 PIECE_MODEL = _vocabulary("piece_bpe_32k.model")
 
 
@@ -23,6 +24,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(spark, table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_idstore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idstore.round_trip(spark, table(spark, sf_dir, "documents"), BYTE_BPE, end=2)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.records(warc.write_warc(spark, table(spark, sf_dir, "pages")))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -44,6 +57,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 

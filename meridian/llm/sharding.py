@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, running
 
 BUCKETS = 256
 
@@ -14,20 +14,6 @@ def _dealt(key: Column, n: int, salt: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(n)).cast("int")
 
 
-def _running(rows: DataFrame, by: list[str], size: str, order: list[Column]) -> DataFrame:
-    """Adds ``before``: the sum of ``size`` over the rows before this one, in each group of ``by``.
-
-    Two levels, so that no task gets a group: rows fall into BUCKETS a group, whose sums are few and are added up first;
-    then each bucket is added up by itself.
-    """
-    w = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(*by, "bucket").agg(F.sum(size).alias("s"))
-    starts = sums.withColumn("base", F.coalesce(F.sum("s").over(w), F.lit(0))).drop("s")
-    inner = Window.partitionBy(*by, "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    own = rows.withColumn("own", F.coalesce(F.sum(size).over(inner), F.lit(0)))
-    return own.join(starts, [*by, "bucket"]).withColumn("before", F.col("base") + F.col("own")).drop("base", "own")
-
-
 def shard_documents(docs: DataFrame, n_shards: int = 16, rounds: int = 5, slack: float = 0.01, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Deals ``docs`` into shards: equal texts are linked, and linked documents move towards their neighbours.
 
@@ -63,7 +49,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, rounds: int = 5, slack:
         can = held.where(rooms[F.col("shard")] > 0)
         goal = can.groupBy("unit").agg(F.max_by("shard", F.struct("held", F.xxhash64("unit", "shard", F.lit(r)))).alias("goal"))
         asks = held.join(goal, "unit").where("shard <> goal").groupBy("unit", "goal").agg(F.sum("held").alias("inflow"))
-        asks = _running(asks.withColumn("bucket", _dealt(F.col("unit"), BUCKETS, 100 + r)), ["goal"], "inflow", [F.col("unit")])
+        asks = running(asks.withColumn("bucket", _dealt(F.col("unit"), BUCKETS, 100 + r)), ["goal"], "inflow", [F.col("unit")])
         granted = cut(asks.where(F.col("before") + F.col("inflow") <= rooms[F.col("goal")]).select("unit", "goal"))
         if not granted.limit(1).count():
             break
@@ -83,7 +69,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, rounds: int = 5, slack:
             upto += x * scale
             ends.append(upto)
         # A document goes where its middle falls on the line of all free bytes.
-        run = _running(part.withColumn("all", F.lit(0)), ["all"], "size", [F.col("doc_id")])
+        run = running(part.withColumn("all", F.lit(0)), ["all"], "size", [F.col("doc_id")])
         middle = F.col("before") + F.col("size") / 2
         shard = sum((F.when(middle >= F.lit(e), 1).otherwise(0) for e in ends[:-1]), F.lit(0)).cast("int")
         run = cut(run.select("doc_id", "size", "text_crc32", "bucket", shard.alias("shard")))
@@ -91,5 +77,5 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, rounds: int = 5, slack:
             load[x["shard"]] = load.get(x["shard"], 0) + x["s"]
         placed = placed.unionByName(run)
     one = placed.withColumn("one", F.lit(1).cast("long"))
-    slotted = _running(one, ["shard"], "one", [F.col("doc_id")])
+    slotted = running(one, ["shard"], "one", [F.col("doc_id")])
     return slotted.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("before").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

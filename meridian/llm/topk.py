@@ -95,7 +95,8 @@ class BallTree:
 def _search(k: int):
     def run(points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for dim, q in asked.groupby("dim"):
+        # A shard that no query is asked of comes with an empty frame, which has no columns.
+        for dim, q in asked.groupby("dim") if len(asked) and len(points) else ():
             p = points[points["dim"] == dim]
             if not len(p):
                 continue

@@ -17,11 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, filesystem, kept_table, remove, running, shared_folder
 
-KEPT = 500_000
-WINDOW, LEAST, MOST, MASK = 8, 256, 8192, 1023
+KEPT = 300_000
+WINDOW, LEAST, MOST, MASK = 4, 256, 8192, 1023
 FAN = 256
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-_TWO = re.compile(r"[ \n\r\t](?:[ \n\r\t]|$)")
 _PIECE = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
 
 
@@ -50,7 +49,9 @@ class Encoder:
         rest = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.single = {c: self._whole(c).tobytes() for c in ".,\n"}
+        # Words of late, and those before them, which move up when they are met again.
         self.kept: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
@@ -65,14 +66,18 @@ class Encoder:
             tail, word = self.single[word[-1]], word[:-1]
         if not word.isalpha():
             return None
-        ids = [t.id for t in self.model.tokenize(lead + "".join(map(self.letters.__getitem__, word.encode())))]
+        shown = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        ids = [t.id for t in self.model.tokenize(lead + shown)]
         return head + array("I", ids).tobytes() + tail
 
     def _fill(self, keys: set[str]) -> None:
-        kept = self.kept
-        if len(kept) > KEPT:
-            kept.clear()
+        if len(self.kept) > KEPT:
+            self.old, self.kept = self.kept, {}
+        kept, old = self.kept, self.old
         new = [k for k in keys if k not in kept]
+        if old:
+            kept.update((k, old[k]) for k in new if k in old)
+            new = [k for k in new if k not in kept]
         if self.model is not None:
             kept.update((k, w) for k in new if (w := self._word(k)) is not None)
             new = [k for k in new if k not in kept]
@@ -92,12 +97,17 @@ class Encoder:
         """The keys of a text's pieces; none if it must be encoded whole."""
         if not text:
             return []
-        if "\x00" in text or _ODD.search(text) or any(s in text for s in self.special):
+        if "\x00" in text or any(s in text for s in self.special):
+            return None
+        keys = ("\x00" + text.replace("\n", " \n")).split(" ")
+        single = not any(p in text for p in ("  ", " \n", "\n ", "\n\n", "\t", "\r")) and text[0] not in " \n" and text[-1] not in " \n"
+        # Then there are as many keys as words, unless words are apart by white space of another kind.
+        if single and len(text.split()) == len(keys):
+            return keys
+        if _ODD.search(text):
             return None
-        if text[0] in " \n\r\t" or "\t" in text or "\r" in text or _TWO.search(text):
-            # Here keys are the pieces themselves; those of one space and a word are shared with the other way.
-            return [p[1:] if p[:1] == " " and p[1:2] not in ("", " ", "\n", "\r", "\t") else p if p[:1] in " \n\r\t" else "\x00" + p for p in _PIECE.findall(text)]
-        return ("\x00" + text.replace("\n", " \n")).split(" ")
+        # Here keys are the pieces themselves; those of one space and a word are shared with the other way.
+        return [p[1:] if p[:1] == " " and p[1:2] not in ("", " ", "\n", "\r", "\t") else p if p[:1] in " \n\r\t" else "\x00" + p for p in _PIECE.findall(text)]
 
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
         keys = [self._keys(t) for t in texts]
@@ -126,7 +136,7 @@ def cuts(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= LEAST:
         return [n]
-    g = _GEAR[ids & 0xFFFF] + ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    g = _GEAR[ids & 0xFFFF]
     h = np.zeros(n, np.uint64)
     for i in range(WINDOW):
         h[i:] += g[: n - i] * np.uint64(pow(0x2545F4914F6CDD1D, i, 1 << 64))

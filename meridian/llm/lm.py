@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import pickle
 import uuid
 import zlib
@@ -11,6 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,11 +53,11 @@ class _Part:
     def close(self) -> pd.DataFrame:
         import zstandard
 
-        name = f"{uuid.uuid4().hex}.docs"
+        number = uuid.uuid4().int >> 65
         fs, top = filesystem(self.folder)
         z = zstandard.ZstdCompressor(level=1)
         learnt, other, n = Counter(), set(), 0
-        with fs.open_output_stream(f"{top}/{name}", compression=None) as out, z.stream_writer(out, closefd=False) as to:
+        with fs.open_output_stream(f"{top}/{number:016x}.docs", compression=None) as out, z.stream_writer(out, closefd=False) as to:
             for i in range(0, len(self.docs), 256):
                 some = self.docs[i : i + 256]
                 pickle.dump(some, to)
@@ -62,16 +65,17 @@ class _Part:
                     n += train
                     (learnt if train else other).update(tokens(text))
         self.docs, self.bytes = [], 0
+        _give_back()
         words = [*learnt, *[w for w in other if w not in learnt]]
         counts = [*learnt.values(), *[0] * (len(words) - len(learnt))]
-        return pd.DataFrame({"part": name, "word": [*words, START], "n": [*counts, n]})
+        return pd.DataFrame({"part": number, "word": [*words, START], "n": [*counts, n]})
 
 
-def _docs(folder: str, part: str) -> Iterator[tuple[int | None, bool, str]]:
+def _docs(folder: str, part: int) -> Iterator[tuple[int | None, bool, str]]:
     import zstandard
 
     fs, top = filesystem(folder)
-    with fs.open_input_stream(f"{top}/{part}", compression=None) as f, zstandard.ZstdDecompressor().stream_reader(f) as z:
+    with fs.open_input_stream(f"{top}/{part:016x}.docs", compression=None) as f, zstandard.ZstdDecompressor().stream_reader(f) as z:
         while True:
             try:
                 yield from pickle.load(z)
@@ -97,7 +101,7 @@ def _steps(folder: str):
     """The steps between two states that a part's documents take: how often in learnt ones; 0 where only others take it."""
 
     def run(words: pd.DataFrame) -> pd.DataFrame:
-        part = words["part"].iloc[0]
+        part = int(words["part"].iloc[0])
         at = {w: i for i, w in enumerate(words["word"])}
         number = np.array([_number(w) for w in words["word"]], np.int64)
         first, none, chunks = at.get(START, -1), len(at), ([], [])
@@ -112,6 +116,8 @@ def _steps(folder: str):
         other = np.setdiff1d(seen[0], key)
         key, n = np.r_[key, other], np.r_[n, np.zeros(len(other), np.int64)]
         h, w = key // (none + 1), key % (none + 1)
+        del seen, chunks, at
+        _give_back()
         return pd.DataFrame({"part": part, "h": number[h] if len(h) else h, "w": number[w] if len(w) else w, "n": n})
 
     return run
@@ -126,10 +132,11 @@ class Totals(NamedTuple):
 def _walk(folder: str, totals: Totals, discount: float, least: int):
     """Scores a part's documents with the arcs that they can meet."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        part, kind = rows["part"].iloc[0], rows["kind"].to_numpy()
-        words = rows["word"].to_numpy()[kind == 0]
-        total = rows["total"].to_numpy()[kind == 0]
+    def run(rows: pa.Table) -> pa.Table:
+        part, kind = rows["part"][0].as_py(), rows["kind"].to_numpy()
+        column = lambda name, k: rows[name].to_numpy()[kind == k]
+        words = rows["word"].filter(pa.array(kind == 0)).to_pylist()
+        total = column("total", 0)
         at = {w: i for i, w in enumerate(words)}
         none = len(words)
         count = np.append(total, 0)
@@ -142,18 +149,17 @@ def _walk(folder: str, totals: Totals, discount: float, least: int):
         for i in np.flatnonzero(is_state):
             number[i] = _number(words[i])
         # A state's failure arc: what its arcs leave of its probability.
-        left = rows[kind == 1]
-        order = np.argsort(left["h"].to_numpy())
-        names, mass = left["h"].to_numpy()[order], left["mass"].to_numpy()[order]
+        order = np.argsort(column("h", 1))
+        names, mass = column("h", 1)[order], column("mass", 1)[order]
         back = np.ones(none + 1)
         if len(names):
             i = np.minimum(np.searchsorted(names, number), len(names) - 1)
             has = is_state & (names[i] == number)
             back[has] = 1 - mass[i[has]] / np.maximum(count[has], 1)
-        arcs = rows[kind == 2]
-        key = arcs["h"].to_numpy().astype(np.uint64) * _ODD ^ arcs["w"].to_numpy().astype(np.uint64)
+        key = column("h", 2).astype(np.uint64) * _ODD ^ column("w", 2).astype(np.uint64)
         order = np.argsort(key)
-        key, seen = key[order], arcs["total"].to_numpy()[order]
+        key, seen = key[order], column("total", 2)[order]
+        del rows, order
         out = []
         first = at.get(START, none)
         for doc, train, text in _docs(folder, part):
@@ -170,12 +176,23 @@ def _walk(folder: str, totals: Totals, discount: float, least: int):
                 hit = key[i] == k
                 p[both[hit]] += (seen[i[hit]] - discount) / count[state[both[hit]]]
             out.append((doc, not train, len(ids), int((count[ids] > 0).sum()), totals.tokens, float(root[ids].sum()), float(np.log10(p).sum())))
-        return pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        _give_back()
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), SCORES.types)], SCORES.names)
 
     return run
 
 
-def score_documents(spark: SparkSession, docs: DataFrame, least: int = 1000, arc_least: int = 2, discount: float = 0.75, part_bytes: int = 32 << 20) -> DataFrame:
+SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system: a worker lives on and would hold its largest part's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def score_documents(spark: SparkSession, docs: DataFrame, least: int = 1000, arc_least: int = 2, discount: float = 0.75, part_bytes: int = 16 << 20) -> DataFrame:
     """Log10 probabilities of whole texts: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     The automaton: the root has an arc for every word with the base's probability. Each word of ``least`` or more training
@@ -193,7 +210,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, least: int = 1000, arc
     """
     folder = shared_folder(spark, "lm")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = kept_table(own.mapInPandas(_split(folder, part_bytes), "part string, word binary, n long"), f"{folder}/counts")
+    counts = kept_table(own.mapInPandas(_split(folder, part_bytes), "part long, word binary, n long"), f"{folder}/counts")
     w = Window.partitionBy("word")
     first = F.row_number().over(w.orderBy("part")) == 1
     words = kept_table(counts.select("part", "word", F.sum("n").over(w).alias("total"), first.alias("first")), f"{folder}/words")
@@ -203,7 +220,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, least: int = 1000, arc
     totals = Totals(by[False]["n"], by[False]["v"], by[True]["n"]) if by else Totals(0, 0, 0)
 
     states = words.where((F.col("total") >= least) | (F.col("word") == start)).select("part", "word")
-    steps = states.groupBy("part").applyInPandas(_steps(folder), "part string, h long, w long, n long")
+    steps = states.groupBy("part").applyInPandas(_steps(folder), "part long, h long, w long, n long")
     each = Window.partitionBy("h", "w")
     steps = steps.select("part", "h", "w", F.sum("n").over(each).alias("total"), (F.row_number().over(each.orderBy("part")) == 1).alias("first"))
     arcs = kept_table(steps.where(F.col("total") >= arc_least), f"{folder}/arcs")
@@ -215,4 +232,4 @@ def score_documents(spark: SparkSession, docs: DataFrame, least: int = 1000, arc
     rows = rows.unionByName(entered.select("part", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("word"), "h", F.lit(0).cast("long").alias("w"), F.lit(0).cast("long").alias("total"), "mass"))
     rows = rows.unionByName(arcs.select("part", F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("word"), "h", "w", "total", F.lit(0.0).alias("mass")))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("part").applyInPandas(_walk(folder, totals, discount, least), schema)
+    return rows.groupBy("part").applyInArrow(_walk(folder, totals, discount, least), schema)

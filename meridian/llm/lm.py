@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import math
 import pickle
 import uuid
 import zlib
@@ -192,11 +193,11 @@ def _give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def score_documents(spark: SparkSession, docs: DataFrame, least: int = 1000, arc_least: int = 2, discount: float = 0.75, part_bytes: int = 16 << 20) -> DataFrame:
+def score_documents(spark: SparkSession, docs: DataFrame, rarest: float = 1e-5, least: int | None = None, arc_least: int = 2, discount: float = 0.75, part_bytes: int = 16 << 20) -> DataFrame:
     """Log10 probabilities of whole texts: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
-    The automaton: the root has an arc for every word with the base's probability. Each word of ``least`` or more training
-    occurrences is a state, and so is the text's start. A state h has an arc to each state w that follows it at least
+    The automaton: the root has an arc for every word with the base's probability. Each word that is a share of ``rarest`` or more of the
+    training tokens is a state (or one of ``least`` occurrences, if given), so there are at most 1 / ``rarest``, and so is the text's start. A state h has an arc to each state w that follows it at least
     ``arc_least`` times in training, of probability (c(hw) - discount) / c(h) + back(h) * root(w); any other word takes its
     failure arc to the root, of weight back(h) = 1 - sum over arcs of (c(hw) - discount) / c(h). So each state's
     probabilities sum to 1. A text is walked once from left to right.
@@ -219,6 +220,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, least: int = 1000, arc
     by = {r["s"]: r for r in n}
     totals = Totals(by[False]["n"], by[False]["v"], by[True]["n"]) if by else Totals(0, 0, 0)
 
+    least = least or max(2, math.ceil(totals.tokens * rarest))
     states = words.where((F.col("total") >= least) | (F.col("word") == start)).select("part", "word")
     steps = states.groupBy("part").applyInPandas(_steps(folder), "part long, h long, w long, n long")
     each = Window.partitionBy("h", "w")

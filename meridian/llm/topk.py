@@ -92,9 +92,15 @@ class BallTree:
         return score, ids, some
 
 
+def _apart(asked: DataFrame) -> DataFrame:
+    """Other names than the points' columns, from which they come: else the two sides are taken for one another."""
+    return asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns])
+
+
 def _search(k: int):
     def run(points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
+        asked = asked.rename(columns=lambda c: c.removeprefix("q_"))
         # A shard that no query is asked of comes with an empty frame, which has no columns.
         for dim, q in asked.groupby("dim") if len(asked) and len(points) else ():
             p = points[points["dim"] == dim]
@@ -132,13 +138,13 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, shard_rows: int = 2048, quer
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     asked = rows.where(is_query).withColumn("floor", F.lit(None).cast("long"))
     schema = "query_id long, vec_id long, score long"
-    seed = rows.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(_search(k), schema)
+    seed = rows.groupBy("shard").cogroup(_apart(asked).groupBy("q_shard")).applyInPandas(_search(k), schema)
     floors = seed.groupBy(F.col("query_id").alias("vec_id")).agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("c")).where(f"c >= {k}").drop("c")
     asked = cut(asked.drop("floor", "shard").join(floors, "vec_id", "left"))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     points = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = points.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(_search(k), schema)
+    found = points.groupBy("shard", "block").cogroup(_apart(asked).groupBy("q_shard", "q_block")).applyInPandas(_search(k), schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")

@@ -57,14 +57,28 @@ def dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 class Voter:
     """Labelled vectors in the space of a truncated singular value decomposition, and the votes of the nearest."""
 
-    def __init__(self, x: np.ndarray, labels: np.ndarray, rank: int = 48, near: int = 25):
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rank: int = 48, near: int = 25, block: int = 256):
         self.near, self.prior = near, float(labels.mean()) if len(labels) else 0.5
-        self.idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1
-        y = self._weigh(x)
-        # The right singular vectors, from the Gram matrix of the terms.
-        values, vectors = np.linalg.eigh(y.T @ y)
-        self.axes = vectors[:, np.argsort(-values)[:rank]]
-        self.vectors, self.labels = self._unit(y @ self.axes), labels.astype(float)
+        seen = np.zeros(WORDS + SHAPES)
+        for at, _ in rows:
+            seen[at] += 1
+        self.idf = np.log((1 + len(rows)) / (1 + seen)) + 1
+        self.axes = self._axes(rows, rank, block)
+        projected = [self._unit(y @ self.axes) for y in self._blocks(rows, block)]
+        self.vectors, self.labels = np.concatenate(projected or [np.zeros((0, rank))]), labels.astype(float)
+
+    def _blocks(self, rows: list, block: int) -> Iterator[np.ndarray]:
+        for i in range(0, len(rows), block):
+            yield self._weigh(dense(rows[i : i + block]))
+
+    def _axes(self, rows: list, rank: int, block: int, more: int = 16, rounds: int = 12) -> np.ndarray:
+        """The first right singular vectors, by seeded subspace iteration: a block of dense rows at a time is in memory, no Gram matrix."""
+        q = np.linalg.qr(np.random.default_rng(9).standard_normal((WORDS + SHAPES, rank + more)))[0]
+        for _ in range(rounds if rows else 0):
+            q = np.linalg.qr(sum(y.T @ (y @ q) for y in self._blocks(rows, block)))[0]
+        small = sum(((y @ q).T @ (y @ q) for y in self._blocks(rows, block)), np.zeros((rank + more, rank + more)))
+        values, vectors = np.linalg.eigh(small)
+        return q @ vectors[:, np.argsort(-values)[:rank]]
 
     def _weigh(self, x: np.ndarray) -> np.ndarray:
         y = x * self.idf
@@ -100,19 +114,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, rank: int = 48,
     rows = rows.where(~held_out("doc_id")).orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(sample)
     chosen = {r["doc_id"]: r["quality"] for r in rows.collect()}
     if not chosen:
-        return Voter(np.zeros((0, WORDS + SHAPES)), np.zeros(0), rank, near)
+        return Voter([], np.zeros(0), rank, near)
     few = docs.sparkSession.createDataFrame(list(chosen.items()), "doc_id long, quality int")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = [features(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "at": [g[0] for g in got], "v": [g[1] for g in got]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "at": [g[0].astype("<i2").tobytes() for g in got], "v": [g[1].astype("<f4").tobytes() for g in got]})
 
     # A document that stands there more than once teaches once.
-    seen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id", "left_semi").mapInPandas(run, "doc_id long, at array<int>, v array<double>")
-    found = {r["doc_id"]: (np.array(r["at"], np.int64), np.array(r["v"])) for r in seen.toLocalIterator()}
+    seen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id", "left_semi").mapInPandas(run, "doc_id long, at binary, v binary")
+    found = {r["doc_id"]: (np.frombuffer(r["at"], "<i2"), np.frombuffer(r["v"], "<f4")) for r in seen.toLocalIterator()}
     ids = sorted(found)
-    return Voter(dense([found[i] for i in ids]), np.array([chosen[i] for i in ids]), rank, near)
+    return Voter([found[i] for i in ids], np.array([chosen[i] for i in ids]), rank, near)
 
 
 def held_out(key: str = "doc_id"):

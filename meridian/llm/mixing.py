@@ -39,8 +39,10 @@ def sainte_lague(votes: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
     votes, caps = np.asarray(votes, float), np.asarray(caps, np.int64)
     caps = np.where(votes > 0, caps, 0)
     seats = int(min(seats, caps.sum()))
+    if seats == caps.sum():
+        return caps
     low, high = 0.0, 2 * votes.max(initial=0) + 1
-    fill = lambda d: np.minimum(caps, np.floor(votes / d + 0.5).astype(np.int64)) if d > 0 else caps
+    fill = lambda d: np.minimum(caps, np.floor(votes / d + 0.5)).astype(np.int64) if d > 0 else caps
     for _ in range(200):
         mid = (low + high) / 2
         if mid in (low, high):

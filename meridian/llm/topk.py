@@ -40,8 +40,9 @@ class BallTree:
     def _products(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
         c = self.points[at]
         if self.wide or len(q) and np.abs(q).max() * np.abs(c).max() * c.shape[1] >= 2**52:
-            exact = np.array([[sum(int(x) * int(y) for x, y in zip(a, b)) for b in c] for a in q], object)
-            return exact.astype(np.int64)
+            # A score is a long: beyond its range it stops at the range's end.
+            least, most = -(2**63), 2**63 - 1
+            return np.array([[min(most, max(least, sum(int(x) * int(y) for x, y in zip(a, b)))) for b in c] for a in q], np.int64).reshape(len(q), len(c))
         return (q @ c.T).astype(np.int64)
 
     def search(self, q: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import itertools
 import math
 import pickle
 import uuid
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import filesystem, kept_table, shared_folder
@@ -35,58 +36,98 @@ def trains(doc_id) -> bool:
 
 
 def _number(word: bytes) -> int:
-    """A 63-bit number of a word. That of a frequent word names its state; two of a million share one once in 10**7 corpora."""
+    """A 64-bit number that names a word in counting. Two of 10**8 words share one in one of 3,700 corpora."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(word, 5) >> 1
+    return xxhash.xxh64_intdigest(word, 5)
+
+
+def _pack(a: np.ndarray) -> bytes:
+    """8-byte numbers, compressed by byte planes."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpack(b: bytes, kind: type = np.int64) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def _slices(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """``bucket, start, end`` of each run in sorted buckets."""
+    start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    yield from zip(bucket[start].tolist(), start.tolist(), [*start[1:].tolist(), len(bucket)])
 
 
 class _Part:
-    """A part of the documents as the task that first reads it leaves it: a file in the shared folder, and its words' counts."""
+    """A part of the documents as the task that first reads it leaves it: a file in the shared folder, and its words' counts.
 
-    def __init__(self, folder: str):
-        self.folder, self.docs, self.bytes = folder, [], 0
+    In the file a word is its rank among the part's words by number.
+    """
+
+    def __init__(self, folder: str, buckets: int):
+        self.folder, self.buckets = folder, buckets
+        self._empty()
+
+    def _empty(self) -> None:
+        self.docs, self.bytes, self.at = [], 0, defaultdict(itertools.count().__next__)
+        self.at[START]
 
     def add(self, doc_id, text: str | None) -> None:
-        self.docs.append((None if pd.isna(doc_id) else int(doc_id), trains(doc_id), text or ""))
+        words = np.array(list(map(self.at.__getitem__, tokens(text))), np.int32)
+        self.docs.append((None if pd.isna(doc_id) else int(doc_id), trains(doc_id), words))
         self.bytes += len(text or "") + 64
 
     def close(self) -> pd.DataFrame:
         import zstandard
 
-        number = uuid.uuid4().int >> 65
+        part = uuid.uuid4().int >> 65
+        key = np.fromiter(map(_number, self.at), np.uint64, len(self.at))
+        n = np.zeros(len(key), np.int64)
+        order = np.argsort(key)
+        rank = np.empty(len(key), np.int32)
+        rank[order] = np.arange(len(key))
         fs, top = filesystem(self.folder)
         z = zstandard.ZstdCompressor(level=1)
-        learnt, other, n = Counter(), set(), 0
-        with fs.open_output_stream(f"{top}/{number:016x}.docs", compression=None) as out, z.stream_writer(out, closefd=False) as to:
+        with fs.open_output_stream(f"{top}/{part:016x}.docs", compression=None) as out, z.stream_writer(out, closefd=False) as to:
+            pickle.dump(int(rank[0]), to)  # START's
             for i in range(0, len(self.docs), 256):
-                some = self.docs[i : i + 256]
+                some = [(doc, train, rank[w]) for doc, train, w in self.docs[i : i + 256]]
                 pickle.dump(some, to)
-                for _, train, text in some:
-                    n += train
-                    (learnt if train else other).update(tokens(text))
-        self.docs, self.bytes = [], 0
+                learnt = [w for _, train, w in some if train]
+                if learnt:
+                    w, k = np.unique(np.concatenate(learnt), return_counts=True)
+                    n[w] += k
+                    n[rank[0]] += len(learnt)
+        key = key[order]
+        self._empty()
         _give_back()
-        words = [*learnt, *[w for w in other if w not in learnt]]
-        counts = [*learnt.values(), *[0] * (len(words) - len(learnt))]
-        return pd.DataFrame({"part": number, "word": [*words, START], "n": [*counts, n]})
+        # A bucket is a range of numbers, so buckets in order are words in order.
+        bucket = ((key >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
+        rows = [(part, b, _pack(key[i:j]), _pack(n[i:j])) for b, i, j in _slices(bucket)]
+        return pd.DataFrame(rows, columns=["part", "bucket", "word", "n"])
 
 
-def _docs(folder: str, part: int) -> Iterator[tuple[int | None, bool, str]]:
+def _docs(folder: str, part: int) -> tuple[int, list[tuple[int | None, bool, np.ndarray]]]:
+    """START's rank and the documents of a part."""
     import zstandard
 
     fs, top = filesystem(folder)
+    docs = []
     with fs.open_input_stream(f"{top}/{part:016x}.docs", compression=None) as f, zstandard.ZstdDecompressor().stream_reader(f) as z:
-        while True:
-            try:
-                yield from pickle.load(z)
-            except EOFError:
-                return
+        first = pickle.load(z)
+        with contextlib.suppress(EOFError):
+            while True:
+                docs += pickle.load(z)
+    return first, docs
 
 
-def _split(folder: str, most: int):
+def _split(folder: str, most: int, buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = _Part(folder)
+        part = _Part(folder, buckets)
         for pdf in batches:
             for k, t in zip(pdf["doc_id"], pdf["text"]):
                 part.add(k, t)
@@ -98,85 +139,147 @@ def _split(folder: str, most: int):
     return run
 
 
-def _steps(folder: str):
-    """The steps between two states that a part's documents take: how often in learnt ones; 0 where only others take it."""
-
-    def run(words: pd.DataFrame) -> pd.DataFrame:
-        part = int(words["part"].iloc[0])
-        at = {w: i for i, w in enumerate(words["word"])}
-        number = np.array([_number(w) for w in words["word"]], np.int64)
-        first, none, chunks = at.get(START, -1), len(at), ([], [])
-
-        for _, train, text in _docs(folder, part):
-            ids = np.array([first, *[at.get(w, none) for w in tokens(text)]])
-            h, w = ids[:-1], ids[1:]
-            ok = (h != none) & (w != none) & (h >= 0)
-            chunks[train].append(h[ok] * (none + 1) + w[ok])
-        seen = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in chunks]
-        key, n = np.unique(seen[1], return_counts=True)
-        other = np.setdiff1d(seen[0], key)
-        key, n = np.r_[key, other], np.r_[n, np.zeros(len(other), np.int64)]
-        h, w = key // (none + 1), key % (none + 1)
-        del seen, chunks, at
+def _word_totals(least: int):
+    """Of a bucket of words: each part's totals and names of states (-1: none); sums of the bucket in one of the rows."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = [_unpack(b, np.uint64) for b in pdf["word"]]
+        word, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.zeros(len(word), np.int64)
+        np.add.at(total, at, np.concatenate([_unpack(b) for b in pdf["n"]]))
+        start = word == np.uint64(_number(START))
+        state = (total >= least) | start
+        name = np.where(state, (int(pdf["bucket"].iloc[0]) << 32) + np.cumsum(state) - 1, -1)
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        out = pdf[["part", "bucket"]].copy()
+        out["total"] = [_pack(total[i]) for i in np.split(at, ends)]
+        out["name"] = [_pack(name[i]) for i in np.split(at, ends)]
+        sums = {"tokens": total[~start].sum(), "distinct": (total[~start] > 0).sum(), "documents": total[start].sum()}
+        for k, x in sums.items():
+            out[k] = np.r_[x, np.zeros(len(out) - 1, np.int64)]
         _give_back()
-        return pd.DataFrame({"part": part, "h": number[h] if len(h) else h, "w": number[w] if len(w) else w, "n": n})
+        return out
 
     return run
 
 
+def _taken(first: int, docs: list, name: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``code, n, order`` of the steps between two states that documents take: code is h * words + w of ranks, sorted; n is how often
+    learnt ones take it, 0 where only others do; ``order`` puts them by bucket."""
+    chunks, words = ([], []), len(name)
+    for _, train, w in docs:
+        h = np.r_[np.int32(first), w[:-1]]
+        ok = (name[h] >= 0) & (name[w] >= 0)
+        chunks[train].append(h[ok].astype(np.int64) * words + w[ok])
+    seen = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in chunks]
+    code, n = np.unique(seen[1], return_counts=True)
+    other = np.setdiff1d(seen[0], code)
+    del seen, chunks
+    code, n = np.r_[code, other], np.r_[n, np.zeros(len(other), np.int64)]
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    return code, n, np.argsort(_bucket(name[code // words], name[code % words], buckets), kind="stable")
+
+
+def _bucket(h: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
+    x = (h.astype(np.uint64) * _ODD ^ w.astype(np.uint64)) * _ODD
+    return ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _steps(folder: str, buckets: int):
+    """The steps between states of a part's documents, by bucket. Names grow with ranks, so h is sorted in each."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = int(pdf["part"].iloc[0])
+        name = np.concatenate([_unpack(b) for b in pdf.sort_values("bucket")["name"]])
+        code, n, order = _taken(*_docs(folder, part), name, buckets)
+        code, n = code[order], n[order]
+        h, w = name[code // len(name)], name[code % len(name)]
+        rows = [(part, b, _pack(np.diff(h[i:j], prepend=0)), _pack(w[i:j]), _pack(n[i:j])) for b, i, j in _slices(_bucket(h, w, buckets))]
+        del code, n, order, h, w
+        _give_back()
+        return pd.DataFrame(rows, columns=["part", "bucket", "h", "w", "n"])
+
+    return run
+
+
+def _step_totals(arc_least: int, discount: float):
+    """Of a bucket of steps: each part's totals (0: no arc), and what the arcs take of each state, by the state's bucket of words (part -1)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        hs = [np.cumsum(_unpack(b)) for b in pdf["h"]]
+        ends = np.cumsum([len(x) for x in hs])[:-1]
+        h, w, n = np.concatenate(hs), np.concatenate([_unpack(b) for b in pdf["w"]]), np.concatenate([_unpack(b) for b in pdf["n"]])
+        order = np.lexsort((w, h))
+        h, w = h[order], w[order]
+        start = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
+        total = np.add.reduceat(n[order], start)
+        total[total < arc_least] = 0
+        back = np.empty(len(order), np.int64)
+        back[order] = np.repeat(total, np.diff(np.r_[start, len(order)]))
+        rows = [(p, b, None, _pack(t)) for p, b, t in zip(pdf["part"], pdf["bucket"], np.split(back, ends))]
+        h, total = h[start][total > 0], total[total > 0]
+        if len(h):
+            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            h, mass = h[first], np.add.reduceat(total - discount, first)
+            rows += [(-1, b, _pack(h[i:j]), _pack(mass[i:j])) for b, i, j in _slices(h >> 32)]
+        _give_back()
+        return pd.DataFrame(rows, columns=["part", "bucket", "h", "x"])
+
+    return run
+
+
+def _masses(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of a bucket of words: each part's totals, names and masses of its states."""
+    parts, sums = pdf[pdf["part"] >= 0], pdf[pdf["part"] < 0]
+    names = [_unpack(b) for b in parts["name"]]
+    mass = np.zeros(1 + max([int((x & 0xFFFFFFFF)[x >= 0].max(initial=-1)) for x in names], default=-1))
+    for h, x in zip(sums["name"], sums["total"]):
+        mass[_unpack(h) & 0xFFFFFFFF] += _unpack(x, np.float64)
+    out = parts[["part", "bucket", "name", "total"]].copy()
+    mass = np.r_[mass, 0.0]  # the last is of words without a state
+    out["mass"] = [_pack(mass[np.where(x >= 0, x & 0xFFFFFFFF, -1)]) for x in names]
+    _give_back()
+    return out
+
+
 class Totals(NamedTuple):
     tokens: int
     distinct: int
     documents: int
 
 
-def _walk(folder: str, totals: Totals, discount: float, least: int):
+def _walk(folder: str, totals: Totals, discount: float, buckets: int):
     """Scores a part's documents with the arcs that they can meet."""
 
     def run(rows: pa.Table) -> pa.Table:
-        part, kind = rows["part"][0].as_py(), rows["kind"].to_numpy()
-        column = lambda name, k: rows[name].to_numpy()[kind == k]
-        words = rows["word"].filter(pa.array(kind == 0)).to_pylist()
-        total = column("total", 0)
-        at = {w: i for i, w in enumerate(words)}
-        none = len(words)
-        count = np.append(total, 0)
-        root = np.log10((count + 1) / (totals.tokens + totals.distinct + 1))  # N + 1 * (V + 1)
-        is_state = count >= least
-        if START in at:
-            count[at[START]] = totals.documents
-            is_state[at[START]] = True
-        number = np.zeros(none + 1, np.int64)
-        for i in np.flatnonzero(is_state):
-            number[i] = _number(words[i])
+        pdf = rows.to_pandas().sort_values("bucket")
+        part = int(pdf["part"].iloc[0])
+        words, steps = pdf[pdf["name"].notna()], pdf[pdf["name"].isna()]
+        name, count = (np.concatenate([_unpack(b) for b in words[k]]) for k in ("name", "total"))
+        mass = np.concatenate([_unpack(b, np.float64) for b in words["mass"]])
+        first, docs = _docs(folder, part)
+        code, seen, order = _taken(first, docs, name, buckets)
+        seen[order] = np.concatenate([_unpack(b) for b in steps["total"]]) if len(steps) else 0
+        code, seen = code[seen > 0], seen[seen > 0]
+        del rows, pdf, words, steps, order
+        known = count.copy()
+        known[first] = 0
+        root = np.log10((known + 1) / (totals.tokens + totals.distinct + 1))  # N + 1 * (V + 1)
+        is_state = name >= 0
         # A state's failure arc: what its arcs leave of its probability.
-        order = np.argsort(column("h", 1))
-        names, mass = column("h", 1)[order], column("mass", 1)[order]
-        back = np.ones(none + 1)
-        if len(names):
-            i = np.minimum(np.searchsorted(names, number), len(names) - 1)
-            has = is_state & (names[i] == number)
-            back[has] = 1 - mass[i[has]] / np.maximum(count[has], 1)
-        key = column("h", 2).astype(np.uint64) * _ODD ^ column("w", 2).astype(np.uint64)
-        order = np.argsort(key)
-        key, seen = key[order], column("total", 2)[order]
-        del rows, order
+        back = 1 - mass / np.maximum(count, 1)
         out = []
-        first = at.get(START, none)
-        for doc, train, text in _docs(folder, part):
-            ids = np.array([at.get(w, none) for w in tokens(text)])
+        for doc, train, ids in docs:
             # The state after a token is that of its word, or the root where it has none; the walk starts in START's.
-            state = np.r_[first, ids[:-1]]
-            from_state = is_state[state]
-            p = 10.0 ** root[ids]
-            p = np.where(from_state, back[state] * p, p)
-            both = np.flatnonzero(from_state & is_state[ids])
-            if len(both) and len(key):
-                k = number[state[both]].astype(np.uint64) * _ODD ^ number[ids[both]].astype(np.uint64)
-                i = np.minimum(np.searchsorted(key, k), len(key) - 1)
-                hit = key[i] == k
-                p[both[hit]] += (seen[i[hit]] - discount) / count[state[both[hit]]]
-            out.append((doc, not train, len(ids), int((count[ids] > 0).sum()), totals.tokens, float(root[ids].sum()), float(np.log10(p).sum())))
+            state = np.r_[np.int32(first), ids[:-1]]
+            p = np.where(is_state[state], back[state], 1) * 10.0 ** root[ids]
+            if len(code):
+                k = state.astype(np.int64) * len(name) + ids
+                i = np.minimum(np.searchsorted(code, k), len(code) - 1)
+                hit = code[i] == k
+                p[hit] += (seen[i[hit]] - discount) / count[state[hit]]
+            out.append((doc, not train, len(ids), int((known[ids] > 0).sum()), totals.tokens, float(root[ids].sum()), float(np.log10(p).sum())))
         _give_back()
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out), SCORES.types)], SCORES.names)
 
@@ -193,45 +296,44 @@ def _give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def score_documents(spark: SparkSession, docs: DataFrame, rarest: float = 1e-5, least: int | None = None, arc_least: int = 2, discount: float = 0.75, part_bytes: int = 16 << 20) -> DataFrame:
+def score_documents(spark: SparkSession, docs: DataFrame, least: int | None = None, arc_least: int = 2, discount: float = 0.75, part_bytes: int = 16 << 20) -> DataFrame:
     """Log10 probabilities of whole texts: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
-    The automaton: the root has an arc for every word with the base's probability. Each word that is a share of ``rarest`` or more of the
-    training tokens is a state (or one of ``least`` occurrences, if given), so there are at most 1 / ``rarest``, and so is the text's start. A state h has an arc to each state w that follows it at least
+    The automaton: the root has an arc for every word with the base's probability. Each word of ``least`` or more occurrences in
+    training is a state, and so is the text's start. By default ``least`` is ``arc_least``, at any size of corpus, and leaves nothing out:
+    a rarer word can have no arc. A state h has an arc to each state w that follows it at least
     ``arc_least`` times in training, of probability (c(hw) - discount) / c(h) + back(h) * root(w); any other word takes its
     failure arc to the root, of weight back(h) = 1 - sum over arcs of (c(hw) - discount) / c(h). So each state's
     probabilities sum to 1. A text is walked once from left to right.
 
     Words and steps are counted over all training documents; the tables grow with the corpus and are never broadcast.
-    Documents are cut where they lie into parts of about ``part_bytes`` (one file each in the shared folder); counts are summed by word
-    and by step, and each part gets those that it can meet, so a task holds a part's automaton, whatever the corpus.
+    Documents are cut where they lie into parts of about ``part_bytes`` (one file each in the shared folder). A part's counts go out in
+    packed slices, one for each bucket of words or steps; a bucket sums its slices and answers each in the slice's own order, so
+    only numbers come back, and a task holds one part or one bucket, whatever the corpus.
 
     Null texts are empty: one end token. Documents with a null id are learnt from. Repeated rows count and score as often as they
     occur. An empty table gives no rows. Other columns are not read.
     """
     folder = shared_folder(spark, "lm")
+    least = arc_least if least is None else least
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = kept_table(own.mapInPandas(_split(folder, part_bytes), "part long, word binary, n long"), f"{folder}/counts")
-    w = Window.partitionBy("word")
-    first = F.row_number().over(w.orderBy("part")) == 1
-    words = kept_table(counts.select("part", "word", F.sum("n").over(w).alias("total"), first.alias("first")), f"{folder}/words")
-    start = F.lit(bytearray(START))
-    n = words.where("first").groupBy((F.col("word") == start).alias("s")).agg(F.sum("total").alias("n"), F.sum((F.col("total") > 0).cast("long")).alias("v")).collect()
-    by = {r["s"]: r for r in n}
-    totals = Totals(by[False]["n"], by[False]["v"], by[True]["n"]) if by else Totals(0, 0, 0)
-
-    least = least or max(2, math.ceil(totals.tokens * rarest))
-    states = words.where((F.col("total") >= least) | (F.col("word") == start)).select("part", "word")
-    steps = states.groupBy("part").applyInPandas(_steps(folder), "part long, h long, w long, n long")
-    each = Window.partitionBy("h", "w")
-    steps = steps.select("part", "h", "w", F.sum("n").over(each).alias("total"), (F.row_number().over(each.orderBy("part")) == 1).alias("first"))
-    arcs = kept_table(steps.where(F.col("total") >= arc_least), f"{folder}/arcs")
-    mass = arcs.where("first").groupBy("h").agg(F.sum(F.col("total") - discount).alias("mass"))
-    # Every part needs the failure arc of each state that it enters, also where it takes none of the state's arcs.
-    number = F.pandas_udf(lambda s: s.map(_number), "long")
-    entered = kept_table(states.select("part", number("word").alias("h")), f"{folder}/entered").join(mass, "h")
-    rows = words.select("part", F.lit(0).alias("kind"), "word", F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("w"), "total", F.lit(0.0).alias("mass"))
-    rows = rows.unionByName(entered.select("part", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("word"), "h", F.lit(0).cast("long").alias("w"), F.lit(0).cast("long").alias("total"), "mass"))
-    rows = rows.unionByName(arcs.select("part", F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("word"), "h", "w", "total", F.lit(0.0).alias("mass")))
+    size = own.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64).alias("s")).collect()[0]["s"] or 0
+    buckets = max(1, math.ceil(2 * size / part_bytes))
+
+    def by(rows: DataFrame, key: str):
+        return rows.repartition(buckets, key).groupBy(key)  # packed rows are small for the work they are: no fewer tasks
+
+    counts = own.mapInPandas(_split(folder, part_bytes, buckets), "part long, bucket long, word binary, n binary")
+    sums = ", ".join(f"{k} long" for k in Totals._fields)
+    words = by(counts, "bucket").applyInPandas(_word_totals(least), f"part long, bucket long, total binary, name binary, {sums}")
+    words = kept_table(words, f"{folder}/words")
+    totals = Totals(*[x or 0 for x in words.agg(*[F.sum(k) for k in Totals._fields]).collect()[0]])
+    words = words.select("part", "bucket", "name", "total")
+
+    steps = by(words.select("part", "bucket", "name"), "part").applyInPandas(_steps(folder, buckets), "part long, bucket long, h binary, w binary, n binary")
+    steps = by(steps, "bucket").applyInPandas(_step_totals(arc_least, discount), "part long, bucket long, h binary, x binary")
+    steps = kept_table(steps, f"{folder}/steps").select("part", "bucket", F.col("h").alias("name"), F.col("x").alias("total"))
+    masses = by(words.unionByName(steps.where("part < 0")), "bucket").applyInPandas(_masses, "part long, bucket long, name binary, total binary, mass binary")
+    rows = masses.unionByName(steps.where("part >= 0").withColumn("mass", F.lit(None).cast("binary")))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("part").applyInArrow(_walk(folder, totals, discount, least), schema)
+    return by(rows, "part").applyInArrow(_walk(folder, totals, discount, buckets), schema)

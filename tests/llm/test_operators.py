@@ -242,6 +242,23 @@ def test_lm_is_a_distribution_and_matches_a_plain_walk(spark, docs, odd, none):
     assert lm.score_documents(spark, none).count() == 0
 
 
+def test_lm_learns_pairs_of_rare_words_at_any_size(spark):
+    # A pair of words seen a few times among 600,000 tokens: its second word is scored by the arc.
+    rows = [(i, "aa bb " * 500) for i in range(700)] + [(1000 + i, "rare pair") for i in range(6)]
+    train = [(k, t) for k, t in rows if zlib.crc32(str(k).encode()) % 7 != 2]
+    n = sum(len(lm.tokens(t)) for _, t in train)
+    seen = sum(t == "rare pair" for _, t in train)
+    assert n > 500_000 and 2 < seen < n * 1e-5
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(spark, spark.createDataFrame(rows, "doc_id long, text string"), part_bytes=500_000).collect()}
+    starts, root = len(train), lambda c: (c + 1) / (n + 5 + 1)  # of aa, bb, rare, pair and the end
+
+    def p(c_h, c_hw, c_w, arcs, mass):
+        return (c_hw - 0.75) / c_h + (1 - (mass - 0.75 * arcs) / c_h) * root(c_w)
+
+    want = p(starts, seen, seen, 2, starts) * p(seen, seen, seen, 1, seen) * p(seen, seen, starts, 1, seen)
+    assert all(abs(got[1000 + i] - math.log10(want)) < 1e-9 for i in range(6))
+
+
 # 6
 
 

@@ -1,7 +1,10 @@
-"""Operator 4 [native]: balanced label propagation puts documents into shards of near-equal bytes."""
+"""Operator 4 [native]: documents into shards of near-equal bytes, equal texts together."""
 
 from __future__ import annotations
 
+import heapq
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,17 +17,42 @@ def _dealt(key: Column, n: int, salt: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(n)).cast("int")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 16, rounds: int = 5, slack: float = 0.01, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Deals ``docs`` into shards: equal texts are linked, and linked documents move towards their neighbours.
+def _place(groups: list[tuple[str, int]], n_shards: int, mean: float, quota: float) -> list[tuple[str, float, float, int]]:
+    """``digest, start, end, shard``: where the bytes of each group go, largest group first, each to the shard with the least.
+
+    A group that does not fit under the quota there is cut: it fills the emptiest shards, each to the mean.
+    """
+    heap, out = [(0.0, s) for s in range(n_shards)], []
+    for digest, size in sorted(groups, key=lambda x: (-x[1], x[0])):
+        load, s = heapq.heappop(heap)
+        if load + size <= quota:
+            heapq.heappush(heap, (load + size, s))
+            out.append((digest, 0.0, math.inf, s))
+            continue
+        at, full = 0.0, []
+        while at + (mean - load) < size and heap:
+            take = max(0.0, mean - load)
+            if take:
+                out.append((digest, at, at + take, s))
+            at += take
+            full.append((load + take, s))
+            load, s = heapq.heappop(heap)
+        out.append((digest, at, math.inf, s))
+        for x in [*full, (load + size - at, s)]:
+            heapq.heappush(heap, x)
+    return out
+
 
-    1. Each document starts in a shard dealt by its key's hash; only sizes, checksums and a SHA-256 of the text are kept.
-       A group of equal texts of more than a quarter of a shard is split into pieces of that size, so a hot group is
-       never one unit.
-    2. In each of ``rounds``, every group names the shard that holds most of its bytes and has room, and its other members ask
-       to move there; requests are accepted in seeded order while the shard's linked bytes stay within its quota,
-       (1 + slack) of the mean. Each accepted move removes cut edges.
-    3. Documents without links cut nothing. They fill what is left of each shard, large ones first, along one running total
-       of bytes, so that shards end equal up to about one small document.
+def shard_documents(docs: DataFrame, n_shards: int = 16, slack: float = 0.01, large: int = 100_000, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Deals ``docs`` into shards: equal texts are linked, and linked documents go to one shard.
+
+    1. Only sizes, checksums and a SHA-256 of the text are kept. A group of equal texts is a clique, so labels that travel along links
+       end as one label a group, and groups are placed as wholes.
+    2. Groups of more than a ``large``-th of all bytes (fewer than ``large``) are placed one by one, largest first, where there is
+       the least. Only one that does not fit under (1 + slack) of the mean there is cut. Smaller groups fill what is left of each
+       shard, along one running total of bytes.
+    3. Documents without links cut nothing. They fill what is then left, large ones first, in the same way, so that shards
+       end equal up to about one small document. Where all are linked, up to about one small group.
 
     Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard``: law is always ``bytes``, grown_shard null.
     Null texts have size 1, a null checksum and no links; empty texts are equal to each other. Rows that repeat a
@@ -37,30 +65,20 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, rounds: int = 5, slack:
     total = nodes.agg(F.sum("size").alias("t")).collect()[0]["t"] or 0
     mean = max(1, total / n_shards)
 
-    groups = nodes.where("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("g")).where("n > 1")
-    groups = cut(groups.select("digest", F.ceil(F.col("g") / F.lit(mean / 4)).cast("int").alias("pieces")))
-    linked = nodes.join(groups, "digest").withColumn("unit", F.xxhash64("digest", F.pmod(F.xxhash64("doc_id"), F.col("pieces"))))
-    linked = cut(linked.select("doc_id", "size", "text_crc32", "unit", "bucket", _dealt(F.col("doc_id"), n_shards, 5).alias("shard")))
-    for r in range(rounds):
-        held = linked.groupBy("unit", "shard").agg(F.sum("size").alias("held"))
-        load = {x["shard"]: x["s"] for x in linked.groupBy("shard").agg(F.sum("size").alias("s")).collect()}
-        room = [max(0, int(mean * (1 + slack)) - load.get(s, 0)) for s in range(n_shards)]
-        rooms = F.array(*[F.lit(x).cast("long") for x in room])
-        can = held.where(rooms[F.col("shard")] > 0)
-        goal = can.groupBy("unit").agg(F.max_by("shard", F.struct("held", F.xxhash64("unit", "shard", F.lit(r)))).alias("goal"))
-        asks = held.join(goal, "unit").where("shard <> goal").groupBy("unit", "goal").agg(F.sum("held").alias("inflow"))
-        asks = running(asks.withColumn("bucket", _dealt(F.col("unit"), BUCKETS, 100 + r)), ["goal"], "inflow", [F.col("unit")])
-        granted = cut(asks.where(F.col("before") + F.col("inflow") <= rooms[F.col("goal")]).select("unit", "goal"))
-        if not granted.limit(1).count():
-            break
-        moved = linked.join(granted, "unit", "left").withColumn("shard", F.coalesce("goal", "shard")).drop("goal")
-        linked = cut(moved)
-
-    free = nodes.join(groups, "digest", "left_anti").select("doc_id", "size", "text_crc32", "bucket")
-    placed = linked.select("doc_id", "size", "text_crc32", "bucket", "shard")
+    groups = cut(nodes.where("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("g")).where("n > 1"))
+    big = F.col("g") > total / large
+    ranges = _place([(x["digest"], x["g"]) for x in groups.where(big).collect()], n_shards, mean, mean * (1 + slack))
+    whole = nodes.sparkSession.createDataFrame(ranges, "digest string, start double, end double, shard int")
+    halved = whole.where("start > 0").select("digest").distinct()
+    # The documents of a group that is cut go by the place of their middles in it.
+    of_cut = running(nodes.join(F.broadcast(halved), "digest", "left_semi"), ["digest"], "size", [F.col("doc_id")])
+    of_cut = of_cut.join(F.broadcast(whole), "digest").where((F.col("before") + F.col("size") / 2 >= F.col("start")) & (F.col("before") + F.col("size") / 2 < F.col("end")))
+    of_whole = nodes.join(F.broadcast(whole.join(halved, "digest", "left_anti")), "digest")
+    columns = ["doc_id", "size", "text_crc32", "bucket", "shard"]
+    placed = cut(of_cut.select(*columns).unionByName(of_whole.select(*columns)))
     load = {x["shard"]: x["s"] for x in placed.groupBy("shard").agg(F.sum("size").alias("s")).collect()}
-    at = free.agg(F.avg("size").alias("a")).collect()[0]["a"] or 0
-    for part in (free.where(F.col("size") > at), free.where(F.col("size") <= at)):
+
+    def fill(part: DataFrame, order: str) -> DataFrame:
         here = part.agg(F.sum("size").alias("s")).collect()[0]["s"] or 0
         lack = [max(0.0, mean - load.get(s, 0)) for s in range(n_shards)]
         scale = here / sum(lack) if sum(lack) else 0
@@ -68,14 +86,22 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, rounds: int = 5, slack:
         for x in lack:
             upto += x * scale
             ends.append(upto)
-        # A document goes where its middle falls on the line of all free bytes.
-        run = running(part.withColumn("all", F.lit(0)), ["all"], "size", [F.col("doc_id")])
+        # Each goes where its middle falls on the line of all its kind's bytes.
+        run = running(part.withColumn("all", F.lit(0)), ["all"], "size", [F.col(order)])
         middle = F.col("before") + F.col("size") / 2
         shard = sum((F.when(middle >= F.lit(e), 1).otherwise(0) for e in ends[:-1]), F.lit(0)).cast("int")
-        run = cut(run.select("doc_id", "size", "text_crc32", "bucket", shard.alias("shard")))
+        run = cut(run.withColumn("shard", shard).drop("all", "before"))
         for x in run.groupBy("shard").agg(F.sum("size").alias("s")).collect():
             load[x["shard"]] = load.get(x["shard"], 0) + x["s"]
-        placed = placed.unionByName(run)
+        return run
+
+    small = groups.where(~big).select("digest", F.col("g").alias("size"), _dealt(F.col("digest"), BUCKETS, 5).alias("bucket"))
+    small = fill(small, "digest").select("digest", "shard")
+    placed = placed.unionByName(nodes.join(small, "digest").select(*columns))
+    free = nodes.join(groups, "digest", "left_anti").select("doc_id", "size", "text_crc32", "bucket")
+    at = free.agg(F.avg("size").alias("a")).collect()[0]["a"] or 0
+    for part in (free.where(F.col("size") > at), free.where(F.col("size") <= at)):
+        placed = placed.unionByName(fill(part, "doc_id").select(*columns))
     one = placed.withColumn("one", F.lit(1).cast("long"))
     slotted = running(one, ["shard"], "one", [F.col("doc_id")])
     return slotted.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("before").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -203,6 +203,25 @@ def test_sharding(spark, docs, odd, none):
     assert sharding.shard_documents(none).count() == 0
 
 
+def test_sharding_keeps_linked_documents_together(spark, none):
+    # All documents have copies: pairs, groups of 20, and one group of three shards' bytes.
+    rng = random.Random(6)
+    texts = [f"{i} " + "x" * rng.randint(50, 400) for i in range(700) for _ in range(20 if i % 10 == 0 else 2)]
+    quota = sum(len(t) + 1 for t in texts) / 13
+    rows = [(i, t) for i, t in enumerate([*texts, *["hot" * 40] * int(3 * quota / 121)])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for large in (100_000, 200):
+        shards, size = defaultdict(set), Counter()
+        for r in sharding.shard_documents(d, large=large).collect():
+            shards[r["text_crc32"]].add(r["shard"])
+            size[r["shard"]] += r["size"]
+        hot = shards.pop(zlib.crc32(b"hot" * 40))
+        assert all(len(s) == 1 for s in shards.values()) and len(hot) <= 4
+        assert len(size) == 16 and max(size.values()) < 1.05 * sum(size.values()) / 16
+    parts = sharding._place([("a", 50), ("b", 50), ("c", 50)], 2, 75.0, 75.0)
+    assert sorted(x[0] for x in parts) == ["a", "b", "c", "c"] and sharding._place([], 2, 1.0, 1.0) == []
+
+
 # 5
 
 

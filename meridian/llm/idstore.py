@@ -5,23 +5,46 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import string
 import uuid
 from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, filesystem, kept_table, remove, running, shared_folder
+from .common import cut, filesystem, kept_table, remove, shared_folder
 
-KEPT = 300_000
+KEPT = 400_000
 WINDOW, LEAST, MOST, MASK = 4, 256, 8192, 1023
 FAN = 256
-_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_ODD = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"  # white space but space, tab and line ends
 _PIECE = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
+_MARKS = string.punctuation.replace("'", "")  # an apostrophe may begin a unit with the letters after it
+
+
+class _Words(dict):
+    """Ids, as bytes, of words by their key; a word that is missing is encoded when it is asked for.
+
+    Words of late, and those before them, which move up when they are met again; so a worker holds at most 2 * KEPT.
+    """
+
+    def __init__(self, encode):
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.encode(key)
+        if len(self) >= KEPT:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
 
 
 class Encoder:
@@ -29,7 +52,8 @@ class Encoder:
 
     The pattern that splits a text before merging never looks back, and always splits before white space that follows
     other characters. So a text can be cut there and each piece, white space and the word after it, encoded alone. Texts with
-    white space other than space, tab and line ends, or with a special token's text, are encoded whole.
+    white space other than space, tab and line ends, or with a special token's text, are encoded whole. Ids are kept
+    as two bytes where the vocabulary allows it.
     """
 
     def __init__(self, path: str):
@@ -38,85 +62,64 @@ class Encoder:
         # A task has one core; the library's own threads would spin on the few words of each call.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
-        tokens = self.library.get_added_tokens_decoder()
-        self.special = [t.content for t in tokens.values()]
-        # A special token stands between words that are encoded in one call: it splits a text before anything else does.
-        self.mark = next(((i, t.content) for i, t in tokens.items() if t.special and not (t.lstrip or t.rstrip or t.single_word)), None)
+        self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.kind == "<u2" else "I"
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         # Words of letters are one unit of the byte-level pattern and can go to the model itself.
         plain = self.library.normalizer is None and type(self.library.pre_tokenizer).__name__ == "ByteLevel"
         self.model = self.library.model if plain else None
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in shown]
-        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.single = {c: self._whole(c).tobytes() for c in ".,\n"}
-        # Words of late, and those before them, which move up when they are met again.
-        self.kept: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _word(self, key: str) -> bytes | None:
-        """Ids of a key that is a word of letters, with a full stop or comma after it at most; none of others."""
-        lead, head, tail, word = self.letters[32], b"", b"", key
-        if key[:1] in ("\x00", "\n"):
-            lead, word = "", key[1:]
-            head = self.single["\n"] if key[0] == "\n" else b""
-        if word[-1:] in (".", ","):
-            tail, word = self.single[word[-1]], word[:-1]
-        if not word.isalpha():
-            return None
-        shown = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-        ids = [t.id for t in self.model.tokenize(lead + shown)]
-        return head + array("I", ids).tobytes() + tail
-
-    def _fill(self, keys: set[str]) -> None:
-        if len(self.kept) > KEPT:
-            self.old, self.kept = self.kept, {}
-        kept, old = self.kept, self.old
-        new = [k for k in keys if k not in kept]
-        if old:
-            kept.update((k, old[k]) for k in new if k in old)
-            new = [k for k in new if k not in kept]
-        if self.model is not None:
-            kept.update((k, w) for k in new if (w := self._word(k)) is not None)
-            new = [k for k in new if k not in kept]
-        # A key that starts with white space is a piece as it is, one with "\x00" stands first; others follow one space.
-        texts = [k[1:] if k[:1] == "\x00" else k if k[:1] in ("\n", "\r", "\t", " ") else " " + k for k in new]
-        if self.mark is None:
-            for k, e in zip(new, self.library.encode_batch(texts, add_special_tokens=False)):
-                kept[k] = np.array(e.ids, "<u4").tobytes()
-        elif new:
-            ids = np.array(self.library.encode(self.mark[1].join(texts), add_special_tokens=False).ids, "<u4")
-            ends, raw, last = np.flatnonzero(ids == self.mark[0]).tolist(), ids.tobytes(), 0
-            for k, stop in zip(new, [*ends, len(ids)], strict=True):
-                kept[k] = raw[4 * last : 4 * stop]
-                last = stop + 1
-
-    def _keys(self, text: str | None) -> list[str] | None:
+        self.table = "".join(chr(b) if b in shown else chr(256 + rest.index(b)) for b in range(256))
+        self.space = self.table[32]
+        self.kept, self.ends = _Words(self._piece), _Words(self._whole)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return self._bytes(self.library.encode(text, add_special_tokens=False).ids)
+
+    def _letters(self, word: str, lead: str) -> bytes:
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.table)
+        return array(self.code, [t.id for t in self.model.tokenize(lead + shown)]).tobytes()
+
+    def _piece(self, key: str) -> bytes:
+        """A key that starts with white space is a piece as it is, one with "\x00" stands first; others follow one space."""
+        core = key.rstrip(_MARKS)
+        if self.model is not None and core.isalpha():
+            if len(core) == len(key):
+                return self._letters(key, self.space)
+            return (dict.get(self.kept, core) or self._letters(core, self.space)) + self.ends[key[len(core) :]]
+        first, rest = key[:1], key[1:]
+        core = rest.rstrip(_MARKS)
+        if self.model is not None and first in ("\x00", "\n") and core.isalpha():
+            ids = self._letters(core, "")
+            ids = self.ends["\n"] + ids if first == "\n" else ids
+            return ids if len(core) == len(rest) else ids + self.ends[rest[len(core) :]]
+        return self._whole(rest if first == "\x00" else key if first in ("\n", "\r", "\t", " ") else " " + key)
+
+    def _keys(self, text: str) -> list[str] | None:
         """The keys of a text's pieces; none if it must be encoded whole."""
-        if not text:
-            return []
-        if "\x00" in text or any(s in text for s in self.special):
-            return None
-        keys = ("\x00" + text.replace("\n", " \n")).split(" ")
-        single = not any(p in text for p in ("  ", " \n", "\n ", "\n\n", "\t", "\r")) and text[0] not in " \n" and text[-1] not in " \n"
-        # Then there are as many keys as words, unless words are apart by white space of another kind.
-        if single and len(text.split()) == len(keys):
-            return keys
-        if _ODD.search(text):
+        if "\x00" in text or any(s in text for s in self.special) or any(c in text for c in _ODD):
             return None
+        if not any(p in text for p in ("  ", " \n", "\n ", "\n\n", "\t", "\r")) and text[0] not in " \n" and text[-1] not in " \n":
+            return ("\x00" + text.replace("\n", " \n")).split(" ")
         # Here keys are the pieces themselves; those of one space and a word are shared with the other way.
         return [p[1:] if p[:1] == " " and p[1:2] not in ("", " ", "\n", "\r", "\t") else p if p[:1] in " \n\r\t" else "\x00" + p for p in _PIECE.findall(text)]
 
-    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
-        keys = [self._keys(t) for t in texts]
-        self._fill(set().union(*(k for k in keys if k)))
-        get = self.kept.__getitem__
-        return [self._whole(t) if k is None else np.frombuffer(b"".join(map(get, k)), "<u4") for t, k in zip(texts, keys)]
+    def raw(self, text: str | None) -> bytes:
+        """Ids of a whole text as little-endian integers of ``kind``."""
+        if not text:
+            return b""
+        keys = self._keys(text)
+        return self._whole(text) if keys is None else b"".join(map(self.kept.__getitem__, keys))
 
     def encode(self, text: str | None) -> np.ndarray:
-        return self.encode_many([text])[0]
+        return np.frombuffer(self.raw(text), self.kind)
+
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        return [self.encode(t) for t in texts]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -128,7 +131,8 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-_GEAR = np.random.default_rng(7).integers(0, 2**63, 1 << 16, np.uint64)
+# A number for each id and each place in the window.
+_GEAR = np.random.default_rng(7).integers(0, 2**32, (WINDOW, 1 << 16), np.uint32)
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -136,11 +140,11 @@ def cuts(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= LEAST:
         return [n]
-    g = _GEAR[ids & 0xFFFF]
-    h = np.zeros(n, np.uint64)
-    for i in range(WINDOW):
-        h[i:] += g[: n - i] * np.uint64(pow(0x2545F4914F6CDD1D, i, 1 << 64))
-    marks = np.flatnonzero((h >> np.uint64(20)) & np.uint64(MASK) == 0) + 1
+    low = ids if ids.dtype.itemsize == 2 else ids & 0xFFFF
+    h = _GEAR[0][low]
+    for i in range(1, WINDOW):
+        h[i:] += _GEAR[i][low[: n - i]]
+    marks = np.flatnonzero(h & np.uint32(MASK) == 0) + 1
     out, last = [], 0
     while n - last > MOST or len(marks):
         i = np.searchsorted(marks, last + LEAST)
@@ -157,35 +161,49 @@ def _digest(raw: bytes) -> bytes:
 
 
 REFS = "array<struct<digest:binary,pack:string,at:bigint,length:int,n:int>>"
+_REF = {"digest": pa.binary(), "pack": pa.string(), "at": pa.int64(), "length": pa.int32(), "n": pa.int32()}
+KNOWN = 200_000  # chunks or texts that a task remembers; beyond them it stores one again, and the index finds that
 
 
-def _encode(path: str, folder: str, end: int, kind: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _encode(path: str, folder: str, end: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         e, z = encoder(path), zstandard.ZstdCompressor(level=1)
+        last_id = np.array([end], e.kind).tobytes()
+        width = len(last_id)
         fs, top = filesystem(folder)
-        pack, out, at, known = f"{uuid.uuid4().hex}.pack", None, 0, {}
-        for pdf in batches:
-            rows = []
-            texts = pdf["text"].tolist()
-            found = (ids for i in range(0, len(texts), 32) for ids in e.encode_many(texts[i : i + 32]))
-            for doc, ids in zip(pdf["doc_id"], found):
-                ids, last, refs = np.append(ids, np.uint32(end)), 0, []
-                for stop in cuts(ids):
-                    raw = ids[last:stop].astype(kind).tobytes()
-                    d = _digest(raw)
-                    if d not in known:
-                        out = out or fs.open_output_stream(f"{top}/{pack}", compression=None)
-                        packed = z.compress(raw)
-                        out.write(packed)
-                        if len(known) > 1_000_000:  # the index finds what is stored twice then
-                            known.clear()
-                        known[d], at = (at, len(packed)), at + len(packed)
-                    refs.append((d, pack, *known[d], stop - last))
-                    last = stop
-                rows.append((doc, len(ids), refs))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "refs"])
+        pack, out, at = f"{uuid.uuid4().hex}.pack", None, 0
+        known: dict[bytes, tuple[int, int]] = {}
+        texts: dict[bytes, tuple[int, list]] = {}
+        for batch in batches:
+            n, ends, refs = [], [0], []
+            for text in batch.column(1).to_pylist():
+                own = _digest((text or "").encode("utf-8", "surrogatepass"))
+                got = texts.get(own)
+                if got is None:
+                    raw, last, chunks = e.raw(text) + last_id, 0, []
+                    for stop in cuts(np.frombuffer(raw, e.kind)):
+                        piece = raw[last * width : stop * width]
+                        d = _digest(piece)
+                        if d not in known:
+                            out = out or fs.open_output_stream(f"{top}/{pack}", compression=None)
+                            packed = z.compress(piece)
+                            out.write(packed)
+                            if len(known) > KNOWN:
+                                known.clear()
+                            known[d], at = (at, len(packed)), at + len(packed)
+                        chunks.append((d, pack, *known[d], stop - last))
+                        last = stop
+                    if len(texts) > KNOWN // 4:
+                        texts.clear()
+                    got = texts[own] = last, chunks
+                n.append(got[0])
+                refs += got[1]
+                ends.append(len(refs))
+            columns = [pa.array(c, k) for c, k in zip(zip(*refs) if refs else [()] * 5, _REF.values())]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, list(_REF)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), lists], ["doc_id", "n_tokens", "refs"])
         if out:
             out.close()
 
@@ -195,27 +213,41 @@ def _encode(path: str, folder: str, end: int, kind: str):
 def _repack(old: str, new: str):
     """Copies the chunks that stay, in order, from the packs of each task to packs without the others."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (fs, source), (_, top) = filesystem(old), filesystem(new)
         name, read, at, out, to = "", None, 0, None, f"{uuid.uuid4().hex}.pack"
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                if r.pack != name:
-                    name, read = r.pack, fs.open_input_file(f"{source}/{r.pack}")
+        for batch in batches:
+            places = []
+            for pack, start, length in zip(*(batch.column(c).to_pylist() for c in ("pack", "at", "length"))):
+                if pack != name:
+                    name, read = pack, fs.open_input_file(f"{source}/{pack}")
                 out = out or fs.open_output_stream(f"{top}/{to}", compression=None)
-                out.write(read.read_at(r.length, r.at))
-                rows.append((r.digest, to, at, r.length, r.n))
-                at += r.length
-            yield pd.DataFrame(rows, columns=["digest", "pack", "at", "length", "n"])
+                out.write(read.read_at(length, start))
+                places.append(at)
+                at += length
+            columns = [batch.column("digest"), pa.array([to] * len(places), pa.string()), pa.array(places, pa.int64()), batch.column("length"), batch.column("n")]
+            yield pa.RecordBatch.from_arrays(columns, list(_REF))
         if out:
             out.close()
 
     return run
 
 
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the number of ids and of recipes before each, in its partition."""
+    from pyspark import TaskContext
+
+    part, ids, rows = TaskContext.get().partitionId(), 0, 0
+    for batch in batches:
+        n = batch.column("n_tokens").to_numpy()
+        before = np.cumsum(n) - n + ids
+        ids, place, rows = ids + int(n.sum()), np.arange(rows, rows + len(n)), rows + len(n)
+        added = {"part": pa.array(np.full(len(n), part, np.int32)), "start": pa.array(before.astype(np.int64)), "place": pa.array(place.astype(np.int64))}
+        yield pa.RecordBatch.from_arrays([*batch.columns, *added.values()], [*batch.schema.names, *added])
+
+
 class Store(NamedTuple):
-    """``folder`` holds the packs; ``recipes`` (doc_id, start, n_tokens, refs, leaf), in ascending doc_id order; ``index``
+    """``folder`` holds the packs; ``recipes`` (doc_id, start, place, n_tokens, refs, leaf), in ascending doc_id order; ``index``
     of unique chunks; ``root``: the Merkle root over the recipes' leaves."""
 
     folder: str
@@ -242,94 +274,93 @@ def _leaf() -> Column:
     return F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("n_tokens").cast("string"), digests), 256)
 
 
-def write_ids(spark: SparkSession, docs: DataFrame, path: str, end: int, vocabulary: int = 1 << 16, buckets: int = 256) -> Store:
+def write_ids(spark: SparkSession, docs: DataFrame, path: str, end: int, part_rows: int = 200_000) -> Store:
     """Encodes every whole text, appends ``end`` to each, and writes the ids to a content-addressed store.
 
     1. Where the documents lie, each task encodes them, cuts each document's ids into chunks by a rolling hash, and appends
        chunks that it has not stored yet to a pack file of its own, by Zstandard. Ids of vocabularies up to 65,536 take two bytes.
+       A text that the task has met lately gets that one's chunks and is not encoded again.
     2. The chunk index keeps one place for each digest. Packs are copied without what another pack has, so every unique
        chunk is stored once; no payload is shuffled.
-    3. A document's recipe lists its chunks' digests and places. Recipes lie in ascending doc_id order with the number of ids
-       before each; a Merkle tree over them has one root, the manifest.
+    3. A document's recipe lists its chunks' digests and places. Recipes lie in ascending doc_id order, in ranges of about ``part_rows``, with
+       the number of ids before each; a Merkle tree over them has one root, the manifest.
 
     Null and empty texts have the end id alone. Repeated ids are documents of their own, in no particular order among
-    themselves; null ids come first. An empty table gives an empty store. Extra columns are not read.
+    themselves; null ids come first. An empty table gives an empty store. Extra columns are not read. Ids never leave Arrow, so they are exact.
     """
     folder = shared_folder(spark, "ids")
     raw, packs = f"{folder}/raw", f"{folder}/packs"
     for f in (raw, packs):
         p = spark._jvm.org.apache.hadoop.fs.Path(f)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
-    kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_encode(path, raw, end, kind), f"doc_id long, n_tokens long, refs {REFS}")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encode(path, raw, end), f"doc_id long, n_tokens long, refs {REFS}")
     rows = kept_table(rows.withColumn("row", F.monotonically_increasing_id()), f"{folder}/rows")
-    refs = rows.select("row", F.posexplode("refs").alias("k", "r")).select("row", "k", "r.*")
+    refs = rows.select("row", "doc_id", "n_tokens", F.posexplode("refs").alias("k", "r")).select("row", "doc_id", "n_tokens", "k", "r.*")
     one = refs.groupBy("digest").agg(F.min(F.struct("pack", "at", "length", "n")).alias("p")).select("digest", "p.*")
-    index = one.repartition("pack").sortWithinPartitions("pack", "at").mapInPandas(_repack(raw, packs), "digest binary, pack string, at long, length int, n int")
+    index = one.repartition("pack").sortWithinPartitions("pack", "at").mapInArrow(_repack(raw, packs), "digest binary, pack string, at long, length int, n int")
     index = kept_table(index, f"{folder}/index")
     remove(spark, raw)
 
-    placed = refs.select("row", "k", "digest").join(index, "digest")
-    parts = placed.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "digest", "pack", "at", "length", "n"))).alias("refs"))
-    own = rows.select("doc_id", "n_tokens", "row").join(parts, "row")
+    placed = refs.select("row", "doc_id", "n_tokens", "k", "digest").join(index, "digest")
+    own = placed.groupBy("row", "doc_id", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("k", "digest", "pack", "at", "length", "n"))).alias("refs"))
     own = own.withColumn("refs", F.expr("transform(refs, r -> named_struct('digest', r.digest, 'pack', r.pack, 'at', r.at, 'length', r.length, 'n', r.n))"))
-    own = kept_table(own, f"{folder}/parts")
-    # Buckets of doc_id by quantiles, so that running sums take one task for each.
-    ends = rows.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10_000)).collect()[0][0] or []
-    bounds = F.array(*[F.lit(int(x)).cast("long") for x in sorted(set(ends))])
-    bucket = F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))), F.lit(-1))
-    keyed = own.select("row", "doc_id", "n_tokens", F.lit(1).cast("long").alias("one"), F.lit(0).alias("all"), bucket.alias("bucket"))
-    order = [F.col("doc_id"), F.col("row")]
-    start = running(keyed, ["all"], "n_tokens", order).select("row", F.col("before").alias("start"))
-    place = running(keyed, ["all"], "one", order).select("row", F.col("before").alias("place"))
-    recipes = own.join(start, "row").join(place, "row").withColumn("leaf", _leaf()).drop("row")
-    recipes = recipes.repartitionByRange(F.col("place")).sortWithinPartitions("place")
-    recipes = kept_table(recipes, f"{folder}/recipes")
+    parts = max(1, -(-rows.count() // part_rows))
+    own = own.withColumn("leaf", _leaf()).repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row").drop("row")
+    own = own.mapInArrow(_running, f"doc_id long, n_tokens long, refs {REFS}, leaf string, part int, start long, place long")
+    own = kept_table(own, f"{folder}/recipes")
+    # A row for each range: what the ranges before it hold.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = own.groupBy("part").agg(F.sum("n_tokens").alias("ids"), F.count(F.lit(1)).alias("rows"))
+    base = sums.select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("ids", "rows")])
+    recipes = own.join(F.broadcast(base), "part").select("doc_id", (F.col("start") + F.col("ids")).alias("start"), (F.col("place") + F.col("rows")).alias("place"), "n_tokens", "refs", "leaf")
     return Store(folder, recipes, index, merkle_root(recipes.select("place", "leaf")))
 
 
 def _fetch(folder: str, kind: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         fs, top = filesystem(f"{folder}/packs")
         z, files, cache = zstandard.ZstdDecompressor(), {}, {}
-        for pdf in batches:
-            out = []
-            for refs in pdf["refs"]:
+        for batch in batches:
+            lists = batch.column("refs")
+            flat = lists.flatten()
+            digests, packs, ats, lengths = (flat.field(c).to_pylist() for c in ("digest", "pack", "at", "length"))
+            out, i = [], 0
+            for n in pc.list_value_length(lists).to_pylist():
                 ids = []
-                for r in refs:
-                    d = r["digest"]
+                for i in range(i, i + n):
+                    d = digests[i]
                     if d not in cache:
-                        if r["pack"] not in files:
+                        if packs[i] not in files:
                             if len(files) >= 64:
                                 files.clear()
-                            files[r["pack"]] = fs.open_input_file(f"{top}/{r['pack']}")
-                        raw = z.decompress(files[r["pack"]].read_at(r["length"], r["at"]))
+                            files[packs[i]] = fs.open_input_file(f"{top}/{packs[i]}")
+                        raw = z.decompress(files[packs[i]].read_at(lengths[i], ats[i]))
                         if _digest(raw) != d:
-                            raise ValueError(f"a chunk of {r['pack']} does not have its digest")
+                            raise ValueError(f"a chunk of {packs[i]} does not have its digest")
                         if len(cache) >= 2000:
                             cache.clear()
                         cache[d] = raw
                     ids.append(cache[d])
+                i += n > 0
                 out.append(np.frombuffer(b"".join(ids), kind).astype("<u4").tobytes())
-            yield pdf.assign(ids=out).drop(columns="refs")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(out, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     return run
 
 
-def read_ids(store: Store, vocabulary: int = 1 << 16, verify: bool = True) -> DataFrame:
+def read_ids(store: Store, kind: str = "<u2", verify: bool = True) -> DataFrame:
     """``doc_id, start, n_tokens, ids``: ids as little-endian unsigned 32-bit integers, put together from the packs.
 
     Each chunk is checked against its digest, and with ``verify`` the recipes against the manifest's root.
     """
     if verify and merkle_root(store.recipes.select("place", _leaf().alias("leaf"))) != store.root:
         raise ValueError("the recipes do not have the manifest's root")
-    kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    return store.recipes.select("doc_id", "start", "n_tokens", "refs").mapInPandas(_fetch(store.folder, kind), "doc_id long, start long, n_tokens long, ids binary")
+    return store.recipes.select("doc_id", "start", "n_tokens", "refs").mapInArrow(_fetch(store.folder, kind), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, path: str, end: int) -> DataFrame:
     """What the store gives back: ``doc_id, start, n_tokens, ids_crc32``, counted and summed over the ids that were read."""
-    ids = read_ids(write_ids(spark, docs, path, end))
+    ids = read_ids(write_ids(spark, docs, path, end), encoder(path).kind)
     return ids.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,13 +10,8 @@ from . import idstore, lm, mixing, pieces, quality, sharding, simhash, topk, vec
 from .common import table
 
 
-def _vocabulary(name: str) -> str:
-    folder = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-    return f"{folder}/{name}"
-
-
-BYTE_BPE = _vocabulary("byte_bpe_50k.json")
-PIECE_MODEL = _vocabulary("piece_bpe_32k.model")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -326,6 +326,12 @@ def test_encoder_equals_the_library():
     texts = ["".join(rng.choice(parts[:12] if i % 2 else parts) for _ in range(rng.randint(0, 14))) for i in range(3000)]
     for t, ids in zip(texts, e.encode_many(texts)):
         assert ids.tolist() == e.library.encode(t, add_special_tokens=False).ids
+    small, kept = idstore.Encoder(registry.BYTE_BPE), idstore.KEPT
+    try:  # words that leave the cache and come back
+        idstore.KEPT = 5
+        assert [x.tolist() for x in small.encode_many(texts[:300])] == [x.tolist() for x in e.encode_many(texts[:300])]
+    finally:
+        idstore.KEPT = kept
 
 
 def test_chunks_depend_on_content():
@@ -338,16 +344,23 @@ def test_chunks_depend_on_content():
 
 def test_id_store(spark, docs, odd, none):
     lib = idstore.encoder(registry.BYTE_BPE).library
-    for d in (docs.limit(60).unionByName(docs.limit(60).withColumn("doc_id", F.col("doc_id") + 900)), odd.where("doc_id <> 7")):
-        rows, want, start = sorted(d.select("doc_id", "text").collect(), key=lambda r: r["doc_id"]), [], 0
+    big = 2**53 + 1  # not a double
+    null_ids = spark.createDataFrame([(None, "One Two"), (big, "Three"), (None, None), (big - 2, "Four")], "doc_id long, text string")
+    for d in (docs.limit(60).unionByName(docs.limit(60).withColumn("doc_id", F.col("doc_id") + 900)), odd, null_ids):
+        rows, want, start = sorted(d.select("doc_id", "text").collect(), key=lambda r: (-1 if r["doc_id"] is None else r["doc_id"], r["text"] or "\uffff")), [], 0
         for r in rows:
             ids = [*lib.encode(r["text"] or "", add_special_tokens=False).ids, 2]
             want.append((r["doc_id"], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
             start += len(ids)
-        got = idstore.round_trip(spark, d, registry.BYTE_BPE, 2)
-        assert sorted(tuple(r) for r in got.collect()) == want
+        got = sorted((tuple(r) for r in idstore.round_trip(spark, d, registry.BYTE_BPE, 2).collect()), key=lambda r: r[1])
+        # Rows of one id (or of none) are in any order among themselves.
+        unordered = lambda rows: Counter((k, n, c) for k, _, n, c in rows)
+        assert unordered(got) == unordered(want) and [r[0] for r in got] == [r[0] for r in want]
+        assert [r[1] for r in got] == [sum(x[2] for x in got[:i]) for i in range(len(got))]
+        assert d is null_ids or got == want
     s = idstore.write_ids(spark, docs.limit(20).crossJoin(spark.range(3)).select((F.col("doc_id") * 3 + F.col("id")).alias("doc_id"), "text"), registry.BYTE_BPE, 2)
     assert s.index.count() == s.index.select("digest").distinct().count()
+    assert [r["place"] for r in s.recipes.orderBy("doc_id").collect()] == list(range(60))
     with pytest.raises(ValueError):
         idstore.read_ids(s._replace(root="0" * 64))
     assert idstore.round_trip(spark, none, registry.BYTE_BPE, 2).count() == 0

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, filesystem, kept_table, remove, shared_folder
 
-KEPT = 400_000
+KEPT = 500_000
 WINDOW, LEAST, MOST, MASK = 4, 256, 8192, 1023
 FAN = 256
 _ODD = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"  # white space but space, tab and line ends
@@ -99,27 +99,45 @@ class Encoder:
             return ids if len(core) == len(rest) else ids + self.ends[rest[len(core) :]]
         return self._whole(rest if first == "\x00" else key if first in ("\n", "\r", "\t", " ") else " " + key)
 
-    def _keys(self, text: str) -> list[str] | None:
-        """The keys of a text's pieces; none if it must be encoded whole."""
-        if "\x00" in text or any(s in text for s in self.special) or any(c in text for c in _ODD):
-            return None
-        if not any(p in text for p in ("  ", " \n", "\n ", "\n\n", "\t", "\r")) and text[0] not in " \n" and text[-1] not in " \n":
-            return ("\x00" + text.replace("\n", " \n")).split(" ")
-        # Here keys are the pieces themselves; those of one space and a word are shared with the other way.
-        return [p[1:] if p[:1] == " " and p[1:2] not in ("", " ", "\n", "\r", "\t") else p if p[:1] in " \n\r\t" else "\x00" + p for p in _PIECE.findall(text)]
-
-    def raw(self, text: str | None) -> bytes:
-        """Ids of a whole text as little-endian integers of ``kind``."""
-        if not text:
-            return b""
-        keys = self._keys(text)
-        return self._whole(text) if keys is None else b"".join(map(self.kept.__getitem__, keys))
+    def _plain(self, text: str) -> bool:
+        """Whether words stand one space or one line's end apart, and nothing else has to be looked at."""
+        if any(p in text for p in ("\x00", "  ", " \n", "\n ", "\n\n", "\t", "\r", *self.special)) or any(c in text for c in _ODD):
+            return False
+        return text[0] not in " \n" and text[-1] not in " \n"
 
-    def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(self.raw(text), self.kind)
+    def _other(self, text: str) -> np.ndarray:
+        if "\x00" in text or any(s in text for s in self.special) or any(c in text for c in _ODD):
+            return np.frombuffer(self._whole(text), self.kind)
+        # Keys are the pieces themselves; those of one space and a word are shared with plain texts.
+        keys = [p[1:] if p[:1] == " " and p[1:2] not in ("", " ", "\n", "\r", "\t") else p if p[:1] in " \n\r\t" else "\x00" + p for p in _PIECE.findall(text)]
+        return np.frombuffer(b"".join(map(self.kept.__getitem__, keys)), self.kind)
 
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
-        return [self.encode(t) for t in texts]
+        """Ids of whole texts. The words of all plain ones are told apart at once, so each is looked up but once."""
+        out = [np.zeros(0, self.kind)] * len(texts)
+        plain = []
+        for i, t in enumerate(texts):
+            if t and self._plain(t):
+                plain.append(i)
+            elif t:
+                out[i] = self._other(t)
+        if plain:
+            lists = pc.split_pattern(pa.array(["\x00" + texts[i].replace("\n", " \n") for i in plain], pa.large_string()), " ")
+            words = lists.flatten().dictionary_encode()
+            found = list(map(self.kept.__getitem__, words.dictionary.to_numpy(zero_copy_only=False)))
+            ids, at = np.frombuffer(b"".join(found), self.kind), words.indices.to_numpy()
+            long = np.fromiter(map(len, found), np.int64, len(found)) // ids.itemsize
+            n = long[at]
+            ends = np.cumsum(n)
+            # The k-th id of a word comes from its own place and k.
+            ids = ids[np.repeat((np.cumsum(long) - long)[at] - (ends - n), n) + np.arange(ends[-1])]
+            stops = ends[lists.offsets.to_numpy()[1:] - 1]
+            for i, x in zip(plain, np.split(ids, stops[:-1])):
+                out[i] = x
+        return out
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.encode_many([text])[0]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -135,18 +153,19 @@ def encoder(path: str) -> Encoder:
 _GEAR = np.random.default_rng(7).integers(0, 2**32, (WINDOW, 1 << 16), np.uint32)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of a stream's chunks: where a hash rolling over the last WINDOW ids has its low bits 0, LEAST to MOST ids apart."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
+def _marks(ids: np.ndarray) -> np.ndarray:
+    """Places after ids where a hash rolling over the last WINDOW of them has its low bits 0."""
     low = ids if ids.dtype.itemsize == 2 else ids & 0xFFFF
     h = _GEAR[0][low]
     for i in range(1, WINDOW):
-        h[i:] += _GEAR[i][low[: n - i]]
-    marks = np.flatnonzero(h & np.uint32(MASK) == 0) + 1
+        h[i:] += _GEAR[i][low[: len(low) - i]]
+    return np.flatnonzero(h & np.uint32(MASK) == 0) + 1
+
+
+def _stops(marks: np.ndarray, n: int) -> list[int]:
+    """Ends of a stream's chunks: at marks, LEAST to MOST ids apart."""
     out, last = [], 0
-    while n - last > MOST or len(marks):
+    while n - last > LEAST:
         i = np.searchsorted(marks, last + LEAST)
         at = min(int(marks[i]) if i < len(marks) else n, last + MOST)
         if at >= n:
@@ -156,6 +175,11 @@ def cuts(ids: np.ndarray) -> list[int]:
     return [*out, n]
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one stream of ids; they depend on the ids near them alone."""
+    return _stops(_marks(ids), len(ids))
+
+
 def _digest(raw: bytes) -> bytes:
     return hashlib.blake2b(raw, digest_size=16).digest()
 
@@ -165,26 +189,46 @@ _REF = {"digest": pa.binary(), "pack": pa.string(), "at": pa.int64(), "length":
 KNOWN = 200_000  # chunks or texts that a task remembers; beyond them it stores one again, and the index finds that
 
 
+def _few(texts: list[str | None], most: int = 1 << 22) -> Iterator[list[str | None]]:
+    """Texts of about ``most`` characters at a time."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t or "")
+        if size >= most:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def _encode(path: str, folder: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         e, z = encoder(path), zstandard.ZstdCompressor(level=1)
-        last_id = np.array([end], e.kind).tobytes()
-        width = len(last_id)
+        last_id = np.array([end], e.kind)
+        width = last_id.itemsize
         fs, top = filesystem(folder)
         pack, out, at = f"{uuid.uuid4().hex}.pack", None, 0
         known: dict[bytes, tuple[int, int]] = {}
         texts: dict[bytes, tuple[int, list]] = {}
         for batch in batches:
             n, ends, refs = [], [0], []
-            for text in batch.column(1).to_pylist():
-                own = _digest((text or "").encode("utf-8", "surrogatepass"))
-                got = texts.get(own)
-                if got is None:
-                    raw, last, chunks = e.raw(text) + last_id, 0, []
-                    for stop in cuts(np.frombuffer(raw, e.kind)):
-                        piece = raw[last * width : stop * width]
+            for some in _few(batch.column(1).to_pylist()):
+                digests = [_digest((t or "").encode("utf-8", "surrogatepass")) for t in some]
+                if len(texts) > KNOWN // 4:
+                    texts.clear()
+                new = {d: t for d, t in zip(digests, some) if d not in texts}
+                found = [np.append(x, last_id) for x in e.encode_many(list(new.values()))]
+                # Marks before the first LEAST ids of a text are not used, so all texts' marks can be found at once.
+                marks, start = _marks(np.concatenate(found)) if found else None, 0
+                for own, ids in zip(new, found):
+                    stop = start + len(ids)
+                    i, j = np.searchsorted(marks, (start + LEAST, stop))
+                    raw, last, chunks = ids.tobytes(), 0, []
+                    for at_id in _stops(marks[i:j] - start, len(ids)):
+                        piece = raw[last * width : at_id * width]
                         d = _digest(piece)
                         if d not in known:
                             out = out or fs.open_output_stream(f"{top}/{pack}", compression=None)
@@ -193,14 +237,14 @@ def _encode(path: str, folder: str, end: int):
                             if len(known) > KNOWN:
                                 known.clear()
                             known[d], at = (at, len(packed)), at + len(packed)
-                        chunks.append((d, pack, *known[d], stop - last))
-                        last = stop
-                    if len(texts) > KNOWN // 4:
-                        texts.clear()
-                    got = texts[own] = last, chunks
-                n.append(got[0])
-                refs += got[1]
-                ends.append(len(refs))
+                        chunks.append((d, pack, *known[d], at_id - last))
+                        last = at_id
+                    texts[own], start = (len(ids), chunks), stop
+                for d in digests:
+                    length, chunks = texts[d]
+                    n.append(length)
+                    refs += chunks
+                    ends.append(len(refs))
             columns = [pa.array(c, k) for c, k in zip(zip(*refs) if refs else [()] * 5, _REF.values())]
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, list(_REF)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), lists], ["doc_id", "n_tokens", "refs"])
@@ -274,7 +318,7 @@ def _leaf() -> Column:
     return F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("n_tokens").cast("string"), digests), 256)
 
 
-def write_ids(spark: SparkSession, docs: DataFrame, path: str, end: int, part_rows: int = 200_000) -> Store:
+def write_ids(spark: SparkSession, docs: DataFrame, path: str, end: int, part_rows: int = 20_000, most_parts: int = 4096) -> Store:
     """Encodes every whole text, appends ``end`` to each, and writes the ids to a content-addressed store.
 
     1. Where the documents lie, each task encodes them, cuts each document's ids into chunks by a rolling hash, and appends
@@ -282,7 +326,8 @@ def write_ids(spark: SparkSession, docs: DataFrame, path: str, end: int, part_ro
        A text that the task has met lately gets that one's chunks and is not encoded again.
     2. The chunk index keeps one place for each digest. Packs are copied without what another pack has, so every unique
        chunk is stored once; no payload is shuffled.
-    3. A document's recipe lists its chunks' digests and places. Recipes lie in ascending doc_id order, in ranges of about ``part_rows``, with
+    3. A document's recipe lists its chunks' digests and places. Recipes lie in ascending doc_id order, in ranges of about ``part_rows`` (more in each if there are over
+       ``most_parts``), with
        the number of ids before each; a Merkle tree over them has one root, the manifest.
 
     Null and empty texts have the end id alone. Repeated ids are documents of their own, in no particular order among
@@ -304,7 +349,7 @@ def write_ids(spark: SparkSession, docs: DataFrame, path: str, end: int, part_ro
     placed = refs.select("row", "doc_id", "n_tokens", "k", "digest").join(index, "digest")
     own = placed.groupBy("row", "doc_id", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("k", "digest", "pack", "at", "length", "n"))).alias("refs"))
     own = own.withColumn("refs", F.expr("transform(refs, r -> named_struct('digest', r.digest, 'pack', r.pack, 'at', r.at, 'length', r.length, 'n', r.n))"))
-    parts = max(1, -(-rows.count() // part_rows))
+    parts = min(most_parts, max(1, -(-rows.count() // part_rows)))
     own = own.withColumn("leaf", _leaf()).repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row").drop("row")
     own = own.mapInArrow(_running, f"doc_id long, n_tokens long, refs {REFS}, leaf string, part int, start long, place long")
     own = kept_table(own, f"{folder}/recipes")

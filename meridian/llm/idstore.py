@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, filesystem, kept_table, remove, shared_folder
 
-KEPT = 500_000
+KEPT = 400_000
 WINDOW, LEAST, MOST, MASK = 4, 256, 8192, 1023
 FAN = 256
 _ODD = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"  # white space but space, tab and line ends
@@ -189,7 +189,7 @@ _REF = {"digest": pa.binary(), "pack": pa.string(), "at": pa.int64(), "length":
 KNOWN = 200_000  # chunks or texts that a task remembers; beyond them it stores one again, and the index finds that
 
 
-def _few(texts: list[str | None], most: int = 1 << 22) -> Iterator[list[str | None]]:
+def _few(texts: list[str | None], most: int = 1 << 21) -> Iterator[list[str | None]]:
     """Texts of about ``most`` characters at a time."""
     some, size = [], 0
     for t in texts:

@@ -203,23 +203,40 @@ def test_sharding(spark, docs, odd, none):
     assert sharding.shard_documents(none).count() == 0
 
 
-def test_sharding_keeps_linked_documents_together(spark, none):
+def test_sharding_keeps_linked_documents_together(spark):
     # All documents have copies: pairs, groups of 20, and one group of three shards' bytes.
     rng = random.Random(6)
     texts = [f"{i} " + "x" * rng.randint(50, 400) for i in range(700) for _ in range(20 if i % 10 == 0 else 2)]
     quota = sum(len(t) + 1 for t in texts) / 13
     rows = [(i, t) for i, t in enumerate([*texts, *["hot" * 40] * int(3 * quota / 121)])]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    for large in (100_000, 200):
-        shards, size = defaultdict(set), Counter()
-        for r in sharding.shard_documents(d, large=large).collect():
-            shards[r["text_crc32"]].add(r["shard"])
-            size[r["shard"]] += r["size"]
-        hot = shards.pop(zlib.crc32(b"hot" * 40))
-        assert all(len(s) == 1 for s in shards.values()) and len(hot) <= 4
-        assert len(size) == 16 and max(size.values()) < 1.05 * sum(size.values()) / 16
-    parts = sharding._place([("a", 50), ("b", 50), ("c", 50)], 2, 75.0, 75.0)
-    assert sorted(x[0] for x in parts) == ["a", "b", "c", "c"] and sharding._place([], 2, 1.0, 1.0) == []
+    shards, size, count = defaultdict(Counter), Counter(), Counter(t for _, t in rows)
+    for r in sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        shards[r["text_crc32"]][r["shard"]] += 1
+        size[r["shard"]] += r["size"]
+    hot = shards.pop(zlib.crc32(b"hot" * 40))
+    assert all(len(s) == 1 for s in shards.values()) and sum(n for _, n in hot.most_common(4)) > 0.97 * sum(hot.values())
+    assert max(size.values()) - min(size.values()) < 0.02 * sum(size.values()) / 16 and len(size) == 16 and sum(hot.values()) == count["hot" * 40]
+
+
+def test_doubled_corpus_keeps_its_pairs(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    d = d.unionByName(d.withColumn("doc_id", F.col("doc_id") + 1_000_000))
+    rows = sharding.shard_documents(d).collect()
+    size, shards = Counter(), defaultdict(list)
+    for r in rows:
+        size[r["shard"]] += r["size"]
+        shards[r["text_crc32"]].append(r["shard"])
+    pairs = [len(set(s)) == 1 for s in shards.values() if len(s) == 2]
+    assert sum(pairs) >= 0.9 * len(pairs) and max(size.values()) - min(size.values()) < 1.1 * max(r["size"] for r in rows)
+
+
+def test_netted_flows():
+    # Every shard is full: opposite flows pass, a cycle passes, one-way flows do not.
+    full = np.full(3, 10.0)
+    asked = np.array([[0, 5, 0], [3, 0, 4], [2, 0, 0]])
+    g = sharding.netted(asked, full, 10)
+    assert (g <= asked).all() and (full + g.sum(0) - g.sum(1) <= 10.5).all() and g.sum() > 8
+    assert sharding.netted(np.array([[0, 5], [0, 0]]), full[:2], 10).sum() < 1
 
 
 # 5

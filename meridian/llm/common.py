@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a temporary one where it names none."""
+    """The folder that all executors share, as the session names it. Only a local session gets a temporary one where none is named."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir names no folder, and executors of a cluster share no temporary one")
         root = "file://" + tempfile.mkdtemp(prefix="meridian-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
@@ -81,6 +85,16 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, name])
+
+
+def beside(ids: pa.Array, rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    """A batch of ``ids`` as they came, so that nulls and ids beyond 2**53 stay exact, and the rows' values."""
+    values = zip(*rows) if rows else [()] * (len(kinds) - 1)
+    return pa.RecordBatch.from_arrays([ids, *(pa.array(v, k) for v, k in zip(values, list(kinds.values())[1:], strict=True))], list(kinds))
+
+
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Batches of rows sorted by ``keys``, cut again so that no group spans two of them."""
     held: list[pd.DataFrame] = []

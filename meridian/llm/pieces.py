@@ -8,10 +8,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import beside, with_column
+
 SPACE = "▁"
 KEPT = 300_000
 
@@ -183,48 +185,55 @@ def model(path: str) -> Unigram:
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``piece_ids array<int>``. Null and empty texts have no ids. All columns and rows stay."""
+    """``docs`` with ``piece_ids array<int>``, in place of a column of that name. Null and empty texts have no ids. All columns and rows stay."""
+    docs = docs.drop("piece_ids")
     schema = docs.select("*", F.lit(None).cast("array<int>").alias("piece_ids")).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for pdf in batches:
-            for i in range(0, len(pdf), 512):
-                few = pdf.iloc[i : i + 512]
-                yield few.assign(piece_ids=[m.encode(t).astype(np.int32) for t in few[text]])
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                few = batch.slice(i, 512)
+                ids = [m.encode(t).astype(np.int32) for t in few.column(text).to_pylist()]
+                yield with_column(few, "piece_ids", pa.array(ids, pa.list_(pa.int32())))
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, path: str, ids: str = "piece_ids") -> DataFrame:
-    """``encoded`` with ``decoded string``; null ids decode to null."""
+    """``encoded`` with ``decoded string``, in place of a column of that name; null ids decode to null."""
+    encoded = encoded.drop("decoded")
     schema = encoded.select("*", F.lit(None).cast("string").alias("decoded")).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for pdf in batches:
-            yield pdf.assign(decoded=[None if x is None else m.decode(x) for x in pdf[ids]])
+        for batch in batches:
+            texts = [None if x is None else m.decode(x) for x in batch.column(ids).to_pylist()]
+            yield with_column(batch, "decoded", pa.array(texts, pa.string()))
+
+    return encoded.mapInArrow(run, schema)
+
 
-    return encoded.mapInPandas(run, schema)
+_CHECKED = {"doc_id": pa.int64(), "n_chars_in": pa.int64(), "n_pieces": pa.int64(), "n_byte_pieces": pa.int64(), "ids_crc32": pa.int64(), "decoded_crc32": pa.int64(), "exact": pa.bool_()}
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     """Each whole text encoded and decoded in one pass: ``doc_id, n_chars_in, n_pieces, n_byte_pieces, ids_crc32, decoded_crc32, exact``.
 
     ids_crc32 is over the ids as little-endian unsigned 32-bit integers. ``exact``: decoding gave the text back; a null text
-    counts as empty. One row for each row of ``docs``, in which other columns are not read.
+    counts as empty. One row for each row of ``docs``, those of null or repeated ids too; other columns are not read.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         low, high = min(m.byte.values()), max(m.byte.values())
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for key, t in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for t in batch.column("text").to_pylist():
                 ids, t = m.encode(t), t or ""
                 back = m.decode(ids.tolist())
-                out.append((key, len(t), len(ids), int(((ids >= low) & (ids <= high)).sum()), zlib.crc32(ids.tobytes()), zlib.crc32(back.encode("utf-8", "surrogatepass")), back == t))
-            yield pd.DataFrame(out, columns=["doc_id", "n_chars_in", "n_pieces", "n_byte_pieces", "ids_crc32", "decoded_crc32", "exact"])
+                out.append((len(t), len(ids), int(((ids >= low) & (ids <= high)).sum()), zlib.crc32(ids.tobytes()), zlib.crc32(back.encode("utf-8", "surrogatepass")), back == t))
+            yield beside(batch.column("doc_id"), out, _CHECKED)
 
     schema = "doc_id long, n_chars_in long, n_pieces long, n_byte_pieces long, ids_crc32 long, decoded_crc32 long, exact boolean"
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

@@ -9,9 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import with_column
+
 WORDS, SHAPES, KEPT = 2048, 1024, 400_000
 _terms: dict[str, tuple[int, int]] = {}
 
@@ -135,18 +138,20 @@ def held_out(key: str = "doc_id"):
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, model: Voter, block: int = 256) -> DataFrame:
-    """``docs`` with ``quality_score``: each whole text against every labelled vector, in blocks of rows.
+    """``docs`` with ``quality_score`` (in place of a column of that name): each whole text against every labelled vector, in blocks of rows.
 
     Texts without words, null ones too, get the share of label 1 among the labelled. Rows are scored one by one, so repeated
     rows score alike. The broadcast model is bounded by fit()'s sample.
     """
     shared = spark.sparkContext.broadcast(model)
+    docs = docs.drop("quality_score")
     # Columns not needed for a score stay beside it; they travel with the row.
     schema = docs.select("*", F.lit(0.0).alias("quality_score")).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [shared.value.score(dense([features(t) for t in pdf["text"].iloc[i : i + block]])) for i in range(0, len(pdf), block)]
-            yield pdf.assign(quality_score=np.concatenate(out) if out else np.zeros(0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            out = [shared.value.score(dense([features(t) for t in texts[i : i + block]])) for i in range(0, len(texts), block)]
+            yield with_column(batch, "quality_score", pa.array(np.concatenate(out) if out else np.zeros(0)))
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)

@@ -8,7 +8,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,24 +27,24 @@ def _pieces(payload: str) -> Iterator[bytes]:
         yield payload[i : i + PIECE].encode("utf-8", "surrogatepass")
 
 
-def _write(folder: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _write(folder: str, date: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = filesystem(folder)
         # A name of its own for each attempt: only files whose rows came back are read, so a lost task leaves no half archive.
         name = f"{top}/{uuid.uuid4().hex}.warc.gz"
         n, out = 0, None
-        for pdf in batches:
-            for page, url, html, refers in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["refers_to"]):
+        for batch in batches:
+            for page, url, html, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to"))):
                 out = out or fs.open_output_stream(name, compression=None)
                 html, sha1, size = html or "", hashlib.sha1(), 0
                 for x in _pieces(html):
                     sha1.update(x)
                     size += len(x)
-                revisit = not pd.isna(refers)
-                head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'null' if pd.isna(page) else int(page)}>"]
+                revisit = refers is not None
+                head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'null' if page is None else page}>", f"WARC-Date: {date}"]
                 head += [f"WARC-Target-URI: {''.join(url.split())}"] if url and url.strip() else []
                 head += [f"WARC-Payload-Digest: sha1:{_base32(sha1)}", f"WARC-Payload-Length: {size}", "Content-Type: application/http; msgtype=response"]
-                head += [f"WARC-Refers-To: <urn:page:{int(refers)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if revisit else []
+                head += [f"WARC-Refers-To: <urn:page:{refers}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if revisit else []
                 z = zlib.compressobj(1, zlib.DEFLATED, 31)
                 length = len(HTTP) + (0 if revisit else size)
                 out.write(z.compress("\r\n".join([*head, f"Content-Length: {length}", "", ""]).encode("utf-8", "replace") + HTTP))
@@ -54,25 +54,26 @@ def _write(folder: str):
                 n += 1
         if out:
             out.close()
-            yield pd.DataFrame({"path": [f"{folder}/{name.rpartition('/')[2]}"], "records": [n]})
+            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name.rpartition('/')[2]}"], "records": [n]})
 
     return run
 
 
-def write_warc(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+def write_warc(spark: SparkSession, pages: DataFrame, min_bytes: int = 0, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
     """Writes one record for each row of ``pages(page_id, url, html)``; returns the manifest ``path, records``.
 
     Of rows with equal payloads (by SHA-1) of ``min_bytes`` or more, that with the largest page_id is a response and the others
     revisit it; smaller payloads are all responses. Each task writes one archive of gzip members to the shared folder
     and holds one piece of a payload at a time. A null html is an empty payload. Rows that repeat the largest page_id
-    are responses too; rows with a null id never become the response of others. An empty table gives no archive.
+    are responses too; rows with a null id never become the response of others. An empty table gives no archive. Pages have no time of
+    their own, so each record's WARC-Date is ``date``; a record's id is its page's, so pages that repeat an id share one.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("big", F.octet_length("html") >= min_bytes)
     first = cut(p.where("big").groupBy("sha1").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     refers = F.when(F.col("big") & (F.col("page_id").isNull() | (F.col("page_id") != F.col("top"))), F.col("top"))
     rows = p.join(first, "sha1", "left").select("page_id", "url", "html", refers.alias("refers_to"))
-    return cut(rows.mapInPandas(_write(shared_folder(spark, "warc")), "path string, records long"))
+    return cut(rows.mapInArrow(_write(shared_folder(spark, "warc"), date), "path string, records long"))
 
 
 class _Lines:
@@ -113,9 +114,9 @@ class _Lines:
 
 
 def _read(with_data: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path in pdf["path"]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
                 fs, at = filesystem(path)
                 rows, held = [], 0
                 with fs.open_input_stream(at, compression=None) as stream:
@@ -140,17 +141,21 @@ def _read(with_data: bool):
                         if about[1] == "response" and (rows[-1][7], size) != about[3:]:
                             raise ValueError(f"record {about[0]} of {path} does not have the payload that its digest is of")
                         if held > 64 * PIECE or len(rows) > 5000:
-                            yield pd.DataFrame(rows, columns=COLUMNS)
+                            yield _table(rows)
                             rows, held = [], 0
-                yield pd.DataFrame(rows, columns=COLUMNS)
+                yield _table(rows)
 
     return run
 
 
-COLUMNS = ["page_id", "record_type", "refers_to", "header_digest", "header_length", "chunk_no", "bytes_so_far", "digest_so_far", "last", "data"]
+COLUMNS = {"page_id": pa.int64(), "record_type": pa.string(), "refers_to": pa.int64(), "header_digest": pa.string(), "header_length": pa.int64(), "chunk_no": pa.int32(), "bytes_so_far": pa.int64(), "digest_so_far": pa.string(), "last": pa.bool_(), "data": pa.binary()}
 SCHEMA = "page_id long, record_type string, refers_to long, header_digest string, header_length long, chunk_no int, bytes_so_far long, digest_so_far string, last boolean, data binary"
 
 
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows) if rows else [()] * len(COLUMNS), COLUMNS.values())], list(COLUMNS))
+
+
 def read_warc(manifest: DataFrame, with_data: bool = True) -> DataFrame:
     """The record chunks of a manifest's archives: a row for each 64 KB of a payload, numbered from 0, at least one a record.
 
@@ -158,7 +163,7 @@ def read_warc(manifest: DataFrame, with_data: bool = True) -> DataFrame:
     Archives are read as streams; no record is ever whole in memory. A response that doesn't have its digest raises.
     """
     n = max(1, manifest.count())
-    return manifest.select("path").repartition(n).mapInPandas(_read(with_data), SCHEMA)
+    return manifest.select("path").repartition(n).mapInArrow(_read(with_data), SCHEMA)
 
 
 def records(manifest: DataFrame) -> DataFrame:

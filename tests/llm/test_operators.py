@@ -1,6 +1,7 @@
 """Each operator against a plain version on small tables, and on odd rows: nulls, empty and long texts, repeats, clashing names."""
 
 import base64
+import gzip
 import hashlib
 import math
 import random
@@ -410,6 +411,46 @@ def test_warc(spark, small):
     assert warc.records(warc.write_warc(spark, d.limit(0))).count() == 0
 
 
+def test_warc_by_another_reader(spark):
+    big = 2**53 + 1
+    rows = [(big, "http://a", "x\r\n\r\ny" * 9), (big - 2, "http://b", "x\r\n\r\ny" * 9), (None, "http://c", "é"), (None, None, None), (3, "u", "WARC/1.1")]
+    m = warc.write_warc(spark, spark.createDataFrame(rows, "page_id long, url string, html string"))
+    found = []
+    for path in [r["path"] for r in m.collect()]:
+        raw = gzip.decompress(open(path.removeprefix("file://"), "rb").read())
+        while raw:  # a record: header lines, a blank line, the block, two line ends
+            head, _, rest = raw.partition(b"\r\n\r\n")
+            first, *lines = head.decode().split("\r\n")
+            h = dict(x.split(": ", 1) for x in lines)
+            assert first == "WARC/1.1" and {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(h)
+            n = int(h["Content-Length"])
+            assert rest[n : n + 4] == b"\r\n\r\n"
+            found.append((h["WARC-Record-ID"], h["WARC-Type"], rest[:n].partition(b"\r\n\r\n")[2].decode(), h.get("WARC-Refers-To")))
+            raw = rest[n + 4 :]
+    text = "x\r\n\r\ny" * 9
+    # Of the two without an id and of different payloads neither revisits.
+    assert Counter(found) == Counter([(f"<urn:page:{big}>", "response", text, None), (f"<urn:page:{big - 2}>", "revisit", "", f"<urn:page:{big}>"), ("<urn:page:null>", "response", "é", None), ("<urn:page:null>", "response", "", None), ("<urn:page:3>", "response", "WARC/1.1", None)])
+    assert {r["page_id"] for r in warc.records(m).collect()} == {big, big - 2, None, 3}
+
+
+def test_ids_stay_exact_beside_nulls(spark):
+    big = 2**53 + 1
+    rows = [(big, "One two three four"), (None, "five"), (big - 2, None), (None, None)]
+    d = spark.createDataFrame([(*r, "clash", "clash", 1.0) for r in rows], "doc_id long, text string, piece_ids string, decoded string, quality_score double").coalesce(1)
+    want = Counter(r[0] for r in rows)
+    ids = lambda df: Counter(r["doc_id"] for r in df.collect())
+    assert ids(pieces.round_trip(spark, d, registry.PIECE_MODEL)) == want
+    enc = pieces.encode_documents(d, registry.PIECE_MODEL)
+    back = pieces.decode_documents(enc, registry.PIECE_MODEL)
+    assert ids(back) == want and Counter((r["doc_id"], r["decoded"]) for r in back.collect()) == Counter((k, t or "") for k, t in rows)
+    assert ids(simhash.near_duplicates(d)) == want and ids(sharding.shard_documents(d, 2)) == want
+    assert ids(mixing.mix_sources(spark, d.select("doc_id", "text").withColumn("source", F.lit("a")))) == want
+    scored = lm.score_documents(spark, d).collect()
+    assert Counter(r["doc_id"] for r in scored) == want and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2) for r in scored if r["doc_id"])
+    m = quality.fit(d, spark.createDataFrame([(big, 1)], "doc_id long, quality int"))
+    assert ids(quality.score_documents(spark, d, m)) == want
+
+
 # 9
 
 

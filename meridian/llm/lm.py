@@ -1,4 +1,4 @@
-"""Operator 5: language-model scores by a weighted backoff automaton."""
+"""Operator 5: language-model scores by a weighted backoff automaton over trigrams, bigrams and words."""
 
 from __future__ import annotations
 
@@ -16,92 +16,119 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import filesystem, kept_table, shared_folder
 
-END, START = b"", b" "  # neither can be a word
+END, START = "", " "  # neither can be a word
+SLICE = 1 << 21  # characters whose words are told apart at once
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words of a whole text, A-Z lower-cased, and one end."""
-    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
-
-
-def trains(doc_id) -> bool:
+def trains(doc_id: int | None) -> bool:
     """Whether a document is learnt from: crc32(id as text) mod 7 is not 2."""
-    return pd.isna(doc_id) or zlib.crc32(str(int(doc_id)).encode()) % 7 != 2
+    return doc_id is None or zlib.crc32(str(doc_id).encode()) % 7 != 2
 
 
-def _number(word: bytes) -> int:
+def _number(word: str) -> int:
     """A 64-bit number that names a word in counting. Two of 10**8 words share one in one of 3,700 corpora."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(word, 5)
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 5)
 
 
 def _pack(a: np.ndarray) -> bytes:
-    """8-byte numbers, compressed by byte planes."""
+    """Numbers, compressed by byte planes."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T).tobytes())
+    a = np.ascontiguousarray(a)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())
 
 
 def _unpack(b: bytes, kind: type = np.int64) -> np.ndarray:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(8, -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1)
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
+def _joined(values, kind: type = np.int64) -> np.ndarray:
+    return np.concatenate([_unpack(b, kind) for b in values] or [np.zeros(0, kind)])
+
+
 def _slices(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """``bucket, start, end`` of each run in sorted buckets."""
     start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
     yield from zip(bucket[start].tolist(), start.tolist(), [*start[1:].tolist(), len(bucket)])
 
 
-class _Part:
-    """A part of the documents as the task that first reads it leaves it: a file in the shared folder, and its words' counts.
+def _words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """How many words each text has, and the words of all: runs without ASCII white space, A-Z lower-cased."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    flat, doc = lists.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+    some = pc.greater(pc.binary_length(flat), 0)  # white space at a text's ends leaves empty ones
+    return np.bincount(doc[some.to_numpy(zero_copy_only=False)], minlength=len(texts)), flat.filter(some).dictionary_encode()
 
-    In the file a word is its rank among the part's words by number.
-    """
+
+class Part(NamedTuple):
+    """A part of the documents: words as ranks among the part's words by number; ``ends`` of documents; ``first``: START's rank."""
+
+    ids: list
+    train: np.ndarray
+    ends: np.ndarray
+    words: np.ndarray
+    first: int
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.r_[0, self.ends[:-1]]
+
+    def before(self) -> np.ndarray:
+        """The word before each, START at a document's begin."""
+        out = np.empty_like(self.words)
+        out[1:] = self.words[:-1]
+        out[self.starts] = self.first
+        return out
+
+    def learnt(self) -> np.ndarray:
+        return np.repeat(self.train, np.diff(self.ends, prepend=0))
+
+
+class _Gathered:
+    """Documents as the task that first reads them leaves them: a file for each part in the shared folder, and its words' counts."""
 
     def __init__(self, folder: str, buckets: int):
         self.folder, self.buckets = folder, buckets
         self._empty()
 
     def _empty(self) -> None:
-        self.docs, self.bytes, self.at = [], 0, defaultdict(itertools.count().__next__)
-        self.at[START]
-
-    def add(self, doc_id, text: str | None) -> None:
-        words = np.array(list(map(self.at.__getitem__, tokens(text))), np.int32)
-        self.docs.append((None if pd.isna(doc_id) else int(doc_id), trains(doc_id), words))
-        self.bytes += len(text or "") + 64
+        self.ids, self.ranks, self.lengths, self.bytes, self.at = [], [], [], 0, defaultdict(itertools.count().__next__)
+        self.at[START], self.at[END]
+
+    def add(self, ids: list, texts: pa.Array, size: int) -> None:
+        n, words = _words(texts)
+        local = np.fromiter(map(self.at.__getitem__, words.dictionary.to_numpy(zero_copy_only=False)), np.int32, len(words.dictionary))
+        out = np.full(n.sum() + len(n), self.at[END], np.int32)
+        inner = np.ones(len(out), bool)
+        inner[np.cumsum(n + 1) - 1] = False  # each document's end
+        out[inner] = local[words.indices.to_numpy()]
+        self.ids += ids
+        self.ranks.append(out)
+        self.lengths.append(n + 1)
+        self.bytes += size + 64 * len(ids)
 
     def close(self) -> pd.DataFrame:
-        import zstandard
-
         part = uuid.uuid4().int >> 65
         key = np.fromiter(map(_number, self.at), np.uint64, len(self.at))
-        n = np.zeros(len(key), np.int64)
         order = np.argsort(key)
         rank = np.empty(len(key), np.int32)
         rank[order] = np.arange(len(key))
-        fs, top = filesystem(self.folder)
-        z = zstandard.ZstdCompressor(level=1)
-        with fs.open_output_stream(f"{top}/{part:016x}.docs", compression=None) as out, z.stream_writer(out, closefd=False) as to:
-            pickle.dump(int(rank[0]), to)  # START's
-            for i in range(0, len(self.docs), 256):
-                some = [(doc, train, rank[w]) for doc, train, w in self.docs[i : i + 256]]
-                pickle.dump(some, to)
-                learnt = [w for _, train, w in some if train]
-                if learnt:
-                    w, k = np.unique(np.concatenate(learnt), return_counts=True)
-                    n[w] += k
-                    n[rank[0]] += len(learnt)
+        whole = Part(self.ids, np.array([trains(i) for i in self.ids], bool), np.cumsum(np.concatenate(self.lengths)), rank[np.concatenate(self.ranks)], int(rank[0]))
+        _save(self.folder, part, "docs", (whole.ids, whole.train, whole.ends, _pack(whole.words), whole.first))
+        n = np.bincount(whole.words[whole.learnt()], minlength=len(key))
+        n[whole.first] = whole.train.sum()
         key = key[order]
         self._empty()
         _give_back()
@@ -111,34 +138,51 @@ class _Part:
         return pd.DataFrame(rows, columns=["part", "bucket", "word", "n"])
 
 
-def _docs(folder: str, part: int) -> tuple[int, list[tuple[int | None, bool, np.ndarray]]]:
-    """START's rank and the documents of a part."""
+def _save(folder: str, part: int, name: str, what) -> None:
     import zstandard
 
     fs, top = filesystem(folder)
-    docs = []
-    with fs.open_input_stream(f"{top}/{part:016x}.docs", compression=None) as f, zstandard.ZstdDecompressor().stream_reader(f) as z:
-        first = pickle.load(z)
-        with contextlib.suppress(EOFError):
-            while True:
-                docs += pickle.load(z)
-    return first, docs
+    with fs.open_output_stream(f"{top}/{part:016x}.{name}", compression=None) as out:
+        out.write(zstandard.ZstdCompressor(level=1).compress(pickle.dumps(what)))
+
+
+def _load(folder: str, part: int, name: str):
+    import zstandard
+
+    fs, top = filesystem(folder)
+    with fs.open_input_stream(f"{top}/{part:016x}.{name}", compression=None) as f:
+        return pickle.loads(zstandard.ZstdDecompressor().decompress(f.read()))
+
+
+def _part(folder: str, part: int) -> Part:
+    ids, train, ends, words, first = _load(folder, part, "docs")
+    return Part(ids, train, ends, _unpack(words, np.int32), first)
 
 
 def _split(folder: str, most: int, buckets: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = _Part(folder, buckets)
-        for pdf in batches:
-            for k, t in zip(pdf["doc_id"], pdf["text"]):
-                part.add(k, t)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = _Gathered(folder, buckets)
+        out = lambda: pa.RecordBatch.from_pandas(part.close(), COUNTS, preserve_index=False)
+        for batch in batches:
+            upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
+            i = 0
+            while i < len(upto):
+                # At least one text, and more while they stay under SLICE.
+                j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + SLICE, "right")))
+                few = batch.slice(i, j - i)
+                part.add(few.column("doc_id").to_pylist(), few.column("text"), int(upto[j - 1] - (upto[i - 1] if i else 0)))
+                i = j
                 if part.bytes >= most:
-                    yield part.close()
-        if part.docs:
-            yield part.close()
+                    yield out()
+        if part.ids:
+            yield out()
 
     return run
 
 
+COUNTS = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("word", pa.binary()), ("n", pa.binary())])
+
+
 def _word_totals(least: int):
     """Of a bucket of words: each part's totals and names of states (-1: none); sums of the bucket in one of the rows."""
 
@@ -146,7 +190,7 @@ def _word_totals(least: int):
         keys = [_unpack(b, np.uint64) for b in pdf["word"]]
         word, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.zeros(len(word), np.int64)
-        np.add.at(total, at, np.concatenate([_unpack(b) for b in pdf["n"]]))
+        np.add.at(total, at, _joined(pdf["n"]))
         start = word == np.uint64(_number(START))
         state = (total >= least) | start
         name = np.where(state, (int(pdf["bucket"].iloc[0]) << 32) + np.cumsum(state) - 1, -1)
@@ -163,40 +207,43 @@ def _word_totals(least: int):
     return run
 
 
-def _taken(first: int, docs: list, name: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``code, n, order`` of the steps between two states that documents take: code is h * words + w of ranks, sorted; n is how often
-    learnt ones take it, 0 where only others do; ``order`` puts them by bucket."""
-    chunks, words = ([], []), len(name)
-    for _, train, w in docs:
-        h = np.r_[np.int32(first), w[:-1]]
-        ok = (name[h] >= 0) & (name[w] >= 0)
-        chunks[train].append(h[ok].astype(np.int64) * words + w[ok])
-    seen = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in chunks]
-    code, n = np.unique(seen[1], return_counts=True)
-    other = np.setdiff1d(seen[0], code)
-    del seen, chunks
-    code, n = np.r_[code, other], np.r_[n, np.zeros(len(other), np.int64)]
-    order = np.argsort(code, kind="stable")
-    code, n = code[order], n[order]
-    return code, n, np.argsort(_bucket(name[code // words], name[code % words], buckets), kind="stable")
-
-
 def _bucket(h: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
     x = (h.astype(np.uint64) * _ODD ^ w.astype(np.uint64)) * _ODD
     return ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _steps(folder: str, buckets: int):
-    """The steps between states of a part's documents, by bucket. Names grow with ranks, so h is sorted in each."""
+def _steps(folder: str, buckets: int, order: int):
+    """The distinct steps of a part's documents, by bucket: from a state by ``h`` to a state by ``w``, and how often learnt ones take them.
+
+    Of order 2 from a word's state to the next word's; of order 3 from the state of two words to that of the last two, where both
+    pairs are arcs, as no other three words can be. A file keeps which step each token is, in the order of the rows.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = int(pdf["part"].iloc[0])
-        name = np.concatenate([_unpack(b) for b in pdf.sort_values("bucket")["name"]])
-        code, n, order = _taken(*_docs(folder, part), name, buckets)
-        code, n = code[order], n[order]
-        h, w = name[code // len(name)], name[code % len(name)]
-        rows = [(part, b, _pack(np.diff(h[i:j], prepend=0)), _pack(w[i:j]), _pack(n[i:j])) for b, i, j in _slices(_bucket(h, w, buckets))]
-        del code, n, order, h, w
+        number, pdf = int(pdf["part"].iloc[0]), pdf.sort_values("bucket")
+        part, name = _part(folder, number), _joined(pdf["name"])
+        if order == 2:
+            h, w = part.before(), part.words
+        else:
+            w = _unpack(_load(folder, number, "2"), np.int32)
+            h = np.empty_like(w)
+            h[1:] = w[:-1]
+            h[part.starts] = -1
+        known = np.r_[name >= 0, False]  # the last is of index -1
+        at = np.flatnonzero(known[h] & known[w])
+        code, step = np.unique(h[at].astype(np.int64) * len(name) + w[at], return_inverse=True)
+        n = np.bincount(step[part.learnt()[at]], minlength=len(code))
+        h, w = (name[code // len(name)], name[code % len(name)]) if len(code) else (code, code)
+        bucket = _bucket(h, w, buckets)
+        by = np.argsort(bucket, kind="stable")  # names grow with ranks, so h is sorted in each bucket
+        place = np.empty(len(by), np.int32)
+        place[by] = np.arange(len(by))
+        taken = np.full(len(part.words), -1, np.int32)
+        taken[at] = place[step]
+        _save(folder, number, str(order), _pack(taken))
+        h, w, n = h[by], w[by], n[by]
+        rows = [(number, b, _pack(np.diff(h[i:j], prepend=0)), _pack(w[i:j]), _pack(n[i:j])) for b, i, j in _slices(bucket[by])]
+        del part, name, code, step, at, taken, place, h, w, n
         _give_back()
         return pd.DataFrame(rows, columns=["part", "bucket", "h", "w", "n"])
 
@@ -204,40 +251,44 @@ def _steps(folder: str, buckets: int):
 
 
 def _step_totals(arc_least: int, discount: float):
-    """Of a bucket of steps: each part's totals (0: no arc), and what the arcs take of each state, by the state's bucket of words (part -1)."""
+    """Of a bucket of steps: each part's totals (0: no arc) and names of arcs (-1: none), and what the arcs take of each state, by the
+    bucket in the state's name (part -1)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         hs = [np.cumsum(_unpack(b)) for b in pdf["h"]]
         ends = np.cumsum([len(x) for x in hs])[:-1]
-        h, w, n = np.concatenate(hs), np.concatenate([_unpack(b) for b in pdf["w"]]), np.concatenate([_unpack(b) for b in pdf["n"]])
+        h, w, n = np.concatenate(hs), _joined(pdf["w"]), _joined(pdf["n"])
         order = np.lexsort((w, h))
         h, w = h[order], w[order]
         start = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
         total = np.add.reduceat(n[order], start)
         total[total < arc_least] = 0
-        back = np.empty(len(order), np.int64)
-        back[order] = np.repeat(total, np.diff(np.r_[start, len(order)]))
-        rows = [(p, b, None, _pack(t)) for p, b, t in zip(pdf["part"], pdf["bucket"], np.split(back, ends))]
-        h, total = h[start][total > 0], total[total > 0]
+        arc = total > 0
+        name = np.where(arc, (int(pdf["bucket"].iloc[0]) << 32) + np.cumsum(arc) - 1, -1)
+        to = np.empty(len(order), np.int64)
+        to[order] = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(order)]))
+        rows = [(p, b, _pack(name[i]), _pack(total[i])) for p, b, i in zip(pdf["part"], pdf["bucket"], np.split(to, ends))]
+        h, total = h[start][arc], total[arc]
         if len(h):
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             h, mass = h[first], np.add.reduceat(total - discount, first)
-            rows += [(-1, b, _pack(h[i:j]), _pack(mass[i:j])) for b, i, j in _slices(h >> 32)]
+            by = np.argsort(h >> 32, kind="stable")
+            rows += [(-1, b, _pack(h[by][i:j]), _pack(mass[by][i:j])) for b, i, j in _slices(h[by] >> 32)]
         _give_back()
-        return pd.DataFrame(rows, columns=["part", "bucket", "h", "x"])
+        return pd.DataFrame(rows, columns=["part", "bucket", "name", "total"])
 
     return run
 
 
 def _masses(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of a bucket of words: each part's totals, names and masses of its states."""
+    """Of a bucket of states: each part's totals and masses."""
     parts, sums = pdf[pdf["part"] >= 0], pdf[pdf["part"] < 0]
     names = [_unpack(b) for b in parts["name"]]
     mass = np.zeros(1 + max([int((x & 0xFFFFFFFF)[x >= 0].max(initial=-1)) for x in names], default=-1))
     for h, x in zip(sums["name"], sums["total"]):
         mass[_unpack(h) & 0xFFFFFFFF] += _unpack(x, np.float64)
-    out = parts[["part", "bucket", "name", "total"]].copy()
-    mass = np.r_[mass, 0.0]  # the last is of words without a state
+    out = parts[["part", "bucket", "total"]].copy()
+    mass = np.r_[mass, 0.0]  # the last is of what is no state
     out["mass"] = [_pack(mass[np.where(x >= 0, x & 0xFFFFFFFF, -1)]) for x in names]
     _give_back()
     return out
@@ -249,39 +300,44 @@ class Totals(NamedTuple):
     documents: int
 
 
-def _walk(folder: str, totals: Totals, discount: float, buckets: int):
-    """Scores a part's documents with the arcs that they can meet."""
+def _walk(folder: str, totals: Totals, discount: float, least: int):
+    """Scores a part's documents with the states and arcs that they can meet.
+
+    The walk is of all the part's tokens at once. The state before a token is that of the last two words if they are an arc, else
+    of the last word, else the root; a token takes the state's arc if there is one, and else the failure arcs down
+    to a state that has it. Every state on that way adds its share.
+    """
 
     def run(rows: pa.Table) -> pa.Table:
         pdf = rows.to_pandas().sort_values("bucket")
-        part = int(pdf["part"].iloc[0])
-        words, steps = pdf[pdf["name"].notna()], pdf[pdf["name"].isna()]
-        name, count = (np.concatenate([_unpack(b) for b in words[k]]) for k in ("name", "total"))
-        mass = np.concatenate([_unpack(b, np.float64) for b in words["mass"]])
-        first, docs = _docs(folder, part)
-        code, seen, order = _taken(first, docs, name, buckets)
-        seen[order] = np.concatenate([_unpack(b) for b in steps["total"]]) if len(steps) else 0
-        code, seen = code[seen > 0], seen[seen > 0]
-        del rows, pdf, words, steps, order
-        known = count.copy()
-        known[first] = 0
+        number = int(pdf["part"].iloc[0])
+        by = {k: pdf[pdf["kind"] == k] for k in (1, 2, 3)}
+        n1, n2, n3 = (_joined(by[k]["total"]) for k in (1, 2, 3))
+        mass1, mass2 = (_joined(by[k]["mass"], np.float64) for k in (1, 2))
+        del rows, pdf, by
+        part = _part(folder, number)
+        two, three = (_unpack(_load(folder, number, k), np.int32) for k in ("2", "3"))
+        known = n1.copy()
+        known[part.first] = 0
         root = np.log10((known + 1) / (totals.tokens + totals.distinct + 1))  # N + 1 * (V + 1)
-        is_state = name >= 0
-        # A state's failure arc: what its arcs leave of its probability.
-        back = 1 - mass / np.maximum(count, 1)
-        out = []
-        for doc, train, ids in docs:
-            # The state after a token is that of its word, or the root where it has none; the walk starts in START's.
-            state = np.r_[np.int32(first), ids[:-1]]
-            p = np.where(is_state[state], back[state], 1) * 10.0 ** root[ids]
-            if len(code):
-                k = state.astype(np.int64) * len(name) + ids
-                i = np.minimum(np.searchsorted(code, k), len(code) - 1)
-                hit = code[i] == k
-                p[hit] += (seen[i[hit]] - discount) / count[state[hit]]
-            out.append((doc, not train, len(ids), int((known[ids] > 0).sum()), totals.tokens, float(root[ids].sum()), float(np.log10(p).sum())))
+        base = root[part.words]
+        h = part.before()
+        # From the last word's state: its failure arc's weight is what its arcs leave of its probability.
+        p = (1 - mass1 / np.maximum(n1, 1))[h] * 10.0**base
+        c = np.r_[n2, 0][two]
+        p += np.where(c > 0, (c - discount) / np.maximum(n1[h], 1), 0)
+        # From the state of the last two words.
+        h[1:] = two[:-1]
+        h[part.starts] = -1
+        n, mass = np.r_[n2, 0][h], np.r_[mass2, 0.0][h]
+        p *= 1 - mass / np.maximum(n, 1)
+        c = np.r_[n3, 0][three]
+        p += np.where(c > 0, (c - discount) / np.maximum(n, 1), 0)
+        add = lambda x: np.add.reduceat(x, part.starts)
+        columns = [part.ids, ~part.train, np.diff(part.ends, prepend=0), add((known[part.words] > 0).astype(np.int64)), np.full(len(part.ids), totals.tokens), add(base), add(np.log10(p))]
+        out = pa.table([pa.array(c, k) for c, k in zip(columns, SCORES.types)], SCORES.names)
         _give_back()
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), SCORES.types)], SCORES.names)
+        return out
 
     return run
 
@@ -300,16 +356,18 @@ def score_documents(spark: SparkSession, docs: DataFrame, least: int | None = No
     """Log10 probabilities of whole texts: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     The automaton: the root has an arc for every word with the base's probability. Each word of ``least`` or more occurrences in
-    training is a state, and so is the text's start. By default ``least`` is ``arc_least``, at any size of corpus, and leaves nothing out:
-    a rarer word can have no arc. A state h has an arc to each state w that follows it at least
-    ``arc_least`` times in training, of probability (c(hw) - discount) / c(h) + back(h) * root(w); any other word takes its
-    failure arc to the root, of weight back(h) = 1 - sum over arcs of (c(hw) - discount) / c(h). So each state's
-    probabilities sum to 1. A text is walked once from left to right.
+    training is a state, and so are the text's start and every pair of words that is an arc. By default ``least`` is
+    ``arc_least``, at any size of corpus, and leaves nothing out: a rarer word can have no arc. A state h has an arc for each word
+    w that follows it at least ``arc_least`` times in training, of probability (c(hw) - discount) / c(h) + back(h) * p(w at h's
+    failure state); any other word takes its failure arc, of weight back(h) = 1 - sum over arcs of (c(hw) - discount) / c(h), from
+    two words to the last one, and from that to the root. So each state's probabilities sum to 1. After a word the state is
+    the longest of what was read last that is one.
 
     Words and steps are counted over all training documents; the tables grow with the corpus and are never broadcast.
-    Documents are cut where they lie into parts of about ``part_bytes`` (one file each in the shared folder). A part's counts go out in
+    Documents are cut where they lie into parts of about ``part_bytes`` (a few files each in the shared folder). A part's counts go out in
     packed slices, one for each bucket of words or steps; a bucket sums its slices and answers each in the slice's own order, so
-    only numbers come back, and a task holds one part or one bucket, whatever the corpus.
+    only numbers come back, and a task holds one part or one bucket, whatever the corpus. Three words are only asked for if both
+    their pairs are arcs, which every arc of three words needs.
 
     Null texts are empty: one end token. Documents with a null id are learnt from. Repeated rows count and score as often as they
     occur. An empty table gives no rows. Other columns are not read.
@@ -323,17 +381,20 @@ def score_documents(spark: SparkSession, docs: DataFrame, least: int | None = No
     def by(rows: DataFrame, key: str):
         return rows.repartition(buckets, key).groupBy(key)  # packed rows are small for the work they are: no fewer tasks
 
-    counts = own.mapInPandas(_split(folder, part_bytes, buckets), "part long, bucket long, word binary, n binary")
+    counts = own.mapInArrow(_split(folder, part_bytes, buckets), "part long, bucket long, word binary, n binary")
     sums = ", ".join(f"{k} long" for k in Totals._fields)
     words = by(counts, "bucket").applyInPandas(_word_totals(least), f"part long, bucket long, total binary, name binary, {sums}")
     words = kept_table(words, f"{folder}/words")
     totals = Totals(*[x or 0 for x in words.agg(*[F.sum(k) for k in Totals._fields]).collect()[0]])
-    words = words.select("part", "bucket", "name", "total")
 
-    steps = by(words.select("part", "bucket", "name"), "part").applyInPandas(_steps(folder, buckets), "part long, bucket long, h binary, w binary, n binary")
-    steps = by(steps, "bucket").applyInPandas(_step_totals(arc_least, discount), "part long, bucket long, h binary, x binary")
-    steps = kept_table(steps, f"{folder}/steps").select("part", "bucket", F.col("h").alias("name"), F.col("x").alias("total"))
-    masses = by(words.unionByName(steps.where("part < 0")), "bucket").applyInPandas(_masses, "part long, bucket long, name binary, total binary, mass binary")
-    rows = masses.unionByName(steps.where("part >= 0").withColumn("mass", F.lit(None).cast("binary")))
+    states, found = words.select("part", "bucket", "name", "total"), []
+    for order in (2, 3):
+        steps = by(states.where("part >= 0").select("part", "bucket", "name"), "part").applyInPandas(_steps(folder, buckets, order), "part long, bucket long, h binary, w binary, n binary")
+        steps = by(steps, "bucket").applyInPandas(_step_totals(arc_least, discount), "part long, bucket long, name binary, total binary")
+        steps = kept_table(steps, f"{folder}/steps-{order}")
+        masses = by(states.where("part >= 0").unionByName(steps.where("part < 0")), "bucket").applyInPandas(_masses, "part long, bucket long, total binary, mass binary")
+        found.append(masses.withColumn("kind", F.lit(order - 1)))
+        states = steps
+    rows = found[0].unionByName(found[1]).unionByName(states.where("part >= 0").select("part", "bucket", "total", F.lit(None).cast("binary").alias("mass"), F.lit(3).alias("kind")))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return by(rows, "part").applyInArrow(_walk(folder, totals, discount, buckets), schema)
+    return by(rows, "part").applyInArrow(_walk(folder, totals, discount, least), schema)

@@ -243,38 +243,50 @@ def test_netted_flows():
 # 5
 
 
+def lm_tokens(text):
+    return [*(text or "").encode().lower().split(), b""]
+
+
 def test_lm_is_a_distribution_and_matches_a_plain_walk(spark, docs, odd, none):
-    for d, least in ((docs, 20), (odd, 1)):
+    """A plain backoff model over dictionaries: three words, two, one; with the registered query's parameters and others."""
+    start = b" "
+    for d, least, arc, more in ((docs, 2, 2, {}), (odd, 2, 2, {}), (odd, 1, 1, {"least": 1, "arc_least": 1}), (docs, 20, 3, {"least": 20, "arc_least": 3, "part_bytes": 100_000})):
         rows = d.select("doc_id", "text").collect()
-        c, steps, starts = Counter(), Counter(), 0
+        c, c2, c3, starts = Counter(), Counter(), Counter(), 0
         for r in rows:
             if zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2:
-                t = lm.tokens(r["text"])
-                c.update(t)
-                steps.update(zip([lm.START, *t[:-1]], t))
+                t = [start, *lm_tokens(r["text"])]
+                c.update(t[1:])
+                c2.update(zip(t, t[1:]))
+                c3.update(zip(t, t[1:], t[2:]))
                 starts += 1
         n, v = sum(c.values()), len(c)
-        seen = {**c, lm.START: starts}
-        state = {w for w, k in c.items() if k >= least} | {lm.START}
-        arcs = {k: x for k, x in steps.items() if k[0] in state and k[1] in state and x >= 2}
+        seen = {**c, start: starts}
+        state = {w for w, k in c.items() if k >= least} | {start}
+        arcs2 = {k: x for k, x in c2.items() if k[0] in state and k[1] in state and x >= arc}
+        arcs3 = {k: x for k, x in c3.items() if x >= arc and k[:2] in arcs2 and k[1:] in arcs2}
         mass = Counter()
-        for (h, _), x in arcs.items():
-            mass[h] += x - 0.75
+        for k, x in [*arcs2.items(), *arcs3.items()]:
+            mass[k[:-1]] += x - 0.75
         root = lambda w: (c[w] + 1) / (n + v + 1)
 
         def p(h, w):
-            if h not in state:
+            if not h:
                 return root(w)
-            return (1 - mass[h] / seen[h]) * root(w) + ((arcs[h, w] - 0.75) / seen[h] if (h, w) in arcs else 0)
-
-        for h in [lm.START, *list(c)[:5]]:
-            assert abs(sum(p(h, w) for w in c) + p(h, b"\0none") - 1) < 1e-9
+            many, arcs = (seen.get(h[0], 0), arcs2) if len(h) == 1 else (arcs2.get(h, 0), arcs3)
+            if h[-1] not in state or not many:
+                return p(h[1:], w)
+            return (1 - mass[h] / many) * p(h[1:], w) + ((arcs[*h, w] - 0.75) / many if (*h, w) in arcs else 0)
+
+        for h in [(start,), *[(w,) for w in list(c)[:5]], *list(arcs2)[:5], *[k[:2] for k in list(arcs3)[:5]]]:
+            if h[-1] != b"":
+                assert abs(sum(p(h, w) for w in c) + p(h, b"\0none") - 1) < 1e-9
         want = Counter()
         for r in rows:
-            t = lm.tokens(r["text"])
-            score = sum(math.log10(p(h, w)) for h, w in zip([lm.START, *t[:-1]], t))
-            want[r["doc_id"], zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2, len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10(root(w)) for w in t), 5), round(score, 5)] += 1
-        got = Counter((*tuple(r)[:5], round(r["base_score"], 5), round(r["score"], 5)) for r in lm.score_documents(spark, d, least=least, part_bytes=100_000).collect())
+            t = [start, *lm_tokens(r["text"])]
+            score = sum(math.log10(p(tuple(t[max(0, i - 2) : i]), t[i])) for i in range(1, len(t)))
+            want[r["doc_id"], zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2, len(t) - 1, sum(c[w] > 0 for w in t[1:]), n, round(sum(math.log10(root(w)) for w in t[1:]), 5), round(score, 5)] += 1
+        got = Counter((*tuple(r)[:5], round(r["base_score"], 5), round(r["score"], 5)) for r in lm.score_documents(spark, d, **more).collect())
         assert got == want
     assert lm.score_documents(spark, none).count() == 0
 
@@ -283,7 +295,7 @@ def test_lm_learns_pairs_of_rare_words_at_any_size(spark):
     # A pair of words seen a few times among 600,000 tokens: its second word is scored by the arc.
     rows = [(i, "aa bb " * 500) for i in range(700)] + [(1000 + i, "rare pair") for i in range(6)]
     train = [(k, t) for k, t in rows if zlib.crc32(str(k).encode()) % 7 != 2]
-    n = sum(len(lm.tokens(t)) for _, t in train)
+    n = sum(len(lm_tokens(t)) for _, t in train)
     seen = sum(t == "rare pair" for _, t in train)
     assert n > 500_000 and 2 < seen < n * 1e-5
     got = {r["doc_id"]: r["score"] for r in lm.score_documents(spark, spark.createDataFrame(rows, "doc_id long, text string"), part_bytes=500_000).collect()}
@@ -292,7 +304,10 @@ def test_lm_learns_pairs_of_rare_words_at_any_size(spark):
     def p(c_h, c_hw, c_w, arcs, mass):
         return (c_hw - 0.75) / c_h + (1 - (mass - 0.75 * arcs) / c_h) * root(c_w)
 
-    want = p(starts, seen, seen, 2, starts) * p(seen, seen, seen, 1, seen) * p(seen, seen, starts, 1, seen)
+    want = p(starts, seen, seen, 2, starts)
+    # After two words all that was ever read follows them: three arcs, each with what failure leaves.
+    for c_w in (seen, starts):
+        want *= (seen - 0.75) / seen + 0.75 / seen * p(seen, seen, c_w, 1, seen)
     assert all(abs(got[1000 + i] - math.log10(want)) < 1e-9 for i in range(6))
 
 

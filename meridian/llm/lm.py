@@ -64,9 +64,9 @@ def _slices(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
     yield from zip(bucket[start].tolist(), start.tolist(), [*start[1:].tolist(), len(bucket)])
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+def _words(texts: list[str | None]) -> tuple[np.ndarray, pa.DictionaryArray]:
     """How many words each text has, and the words of all: runs without ASCII white space, A-Z lower-cased."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts], pa.large_string())))
     flat, doc = lists.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
     some = pc.greater(pc.binary_length(flat), 0)  # white space at a text's ends leaves empty ones
     return np.bincount(doc[some.to_numpy(zero_copy_only=False)], minlength=len(texts)), flat.filter(some).dictionary_encode()
@@ -107,7 +107,7 @@ class _Gathered:
         self.ids, self.ranks, self.lengths, self.bytes, self.at = [], [], [], 0, defaultdict(itertools.count().__next__)
         self.at[START], self.at[END]
 
-    def add(self, ids: list, texts: pa.Array, size: int) -> None:
+    def add(self, ids: list, texts: list, size: int) -> None:
         n, words = _words(texts)
         local = np.fromiter(map(self.at.__getitem__, words.dictionary.to_numpy(zero_copy_only=False)), np.int32, len(words.dictionary))
         out = np.full(n.sum() + len(n), self.at[END], np.int32)
@@ -164,13 +164,13 @@ def _split(folder: str, most: int, buckets: int):
         part = _Gathered(folder, buckets)
         out = lambda: pa.RecordBatch.from_pandas(part.close(), COUNTS, preserve_index=False)
         for batch in batches:
-            upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            upto = np.cumsum([0, *(len(t or "") for t in texts)])
             i = 0
-            while i < len(upto):
+            while i < len(texts):
                 # At least one text, and more while they stay under SLICE.
-                j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + SLICE, "right")))
-                few = batch.slice(i, j - i)
-                part.add(few.column("doc_id").to_pylist(), few.column("text"), int(upto[j - 1] - (upto[i - 1] if i else 0)))
+                j = max(i + 1, int(np.searchsorted(upto, upto[i] + SLICE, "right")) - 1)
+                part.add(ids[i:j], texts[i:j], int(upto[j] - upto[i]))
                 i = j
                 if part.bytes >= most:
                     yield out()
@@ -300,7 +300,7 @@ class Totals(NamedTuple):
     documents: int
 
 
-def _walk(folder: str, totals: Totals, discount: float, least: int):
+def _walk(folder: str, totals: Totals, discount: float):
     """Scores a part's documents with the states and arcs that they can meet.
 
     The walk is of all the part's tokens at once. The state before a token is that of the last two words if they are an arc, else
@@ -397,4 +397,4 @@ def score_documents(spark: SparkSession, docs: DataFrame, least: int | None = No
         states = steps
     rows = found[0].unionByName(found[1]).unionByName(states.where("part >= 0").select("part", "bucket", "total", F.lit(None).cast("binary").alias("mass"), F.lit(3).alias("kind")))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return by(rows, "part").applyInArrow(_walk(folder, totals, discount, least), schema)
+    return by(rows, "part").applyInArrow(_walk(folder, totals, discount), schema)

@@ -243,6 +243,13 @@ def test_netted_flows():
 # 5
 
 
+def test_lm_words_of_many_texts():
+    texts = [None, "", " \t", "É A\x0bb\x1cC", *["Zé à\xa0x " * 500] * 20, "é" * 3000]
+    n, words = lm._words(texts)
+    want = [[w.decode() for w in (t or "").encode().lower().split()] for t in texts]
+    assert n.tolist() == [len(w) for w in want] and words.to_pylist() == [w for x in want for w in x]
+
+
 def lm_tokens(text):
     return [*(text or "").encode().lower().split(), b""]
 

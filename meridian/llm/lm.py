@@ -58,6 +58,18 @@ def _joined(values, kind: type = np.int64) -> np.ndarray:
     return np.concatenate([_unpack(b, kind) for b in values] or [np.zeros(0, kind)])
 
 
+def _pack_names(name: np.ndarray) -> bytes:
+    """Names of one bucket that grow, -1 among them: only the steps from one to the next are written, 0 for -1."""
+    d, ok = np.zeros(len(name), np.int64), name >= 0
+    d[ok] = np.diff(name[ok] & 0xFFFFFFFF, prepend=-1)
+    return _pack(d)
+
+
+def _names(b: bytes, bucket: int) -> np.ndarray:
+    d = _unpack(b)
+    return np.where(d > 0, (bucket << 32) + np.cumsum(d) - 1, -1)
+
+
 def _slices(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """``bucket, start, end`` of each run in sorted buckets."""
     start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
@@ -125,8 +137,9 @@ class _Gathered:
         order = np.argsort(key)
         rank = np.empty(len(key), np.int32)
         rank[order] = np.arange(len(key))
-        whole = Part(self.ids, np.array([trains(i) for i in self.ids], bool), np.cumsum(np.concatenate(self.lengths)), rank[np.concatenate(self.ranks)], int(rank[0]))
-        _save(self.folder, part, "docs", (whole.ids, whole.train, whole.ends, _pack(whole.words), whole.first))
+        met = np.concatenate(self.ranks)  # frequent words are met early, and small numbers pack well
+        whole = Part(self.ids, np.array([trains(i) for i in self.ids], bool), np.cumsum(np.concatenate(self.lengths)), rank[met], int(rank[0]))
+        _save(self.folder, part, "docs", (whole.ids, whole.train, whole.ends, _pack(met), _pack(rank)))
         n = np.bincount(whole.words[whole.learnt()], minlength=len(key))
         n[whole.first] = whole.train.sum()
         key = key[order]
@@ -155,8 +168,9 @@ def _load(folder: str, part: int, name: str):
 
 
 def _part(folder: str, part: int) -> Part:
-    ids, train, ends, words, first = _load(folder, part, "docs")
-    return Part(ids, train, ends, _unpack(words, np.int32), first)
+    ids, train, ends, met, rank = _load(folder, part, "docs")
+    rank = _unpack(rank, np.int32)
+    return Part(ids, train, ends, rank[_unpack(met, np.int32)], int(rank[0]))
 
 
 def _split(folder: str, most: int, buckets: int):
@@ -197,7 +211,7 @@ def _word_totals(least: int):
         ends = np.cumsum([len(k) for k in keys])[:-1]
         out = pdf[["part", "bucket"]].copy()
         out["total"] = [_pack(total[i]) for i in np.split(at, ends)]
-        out["name"] = [_pack(name[i]) for i in np.split(at, ends)]
+        out["name"] = [_pack_names(name[i]) for i in np.split(at, ends)]
         sums = {"tokens": total[~start].sum(), "distinct": (total[~start] > 0).sum(), "documents": total[start].sum()}
         for k, x in sums.items():
             out[k] = np.r_[x, np.zeros(len(out) - 1, np.int64)]
@@ -221,7 +235,7 @@ def _steps(folder: str, buckets: int, order: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         number, pdf = int(pdf["part"].iloc[0]), pdf.sort_values("bucket")
-        part, name = _part(folder, number), _joined(pdf["name"])
+        part, name = _part(folder, number), np.concatenate([_names(b, k) for b, k in zip(pdf["name"], pdf["bucket"])])
         if order == 2:
             h, w = part.before(), part.words
         else:
@@ -267,7 +281,7 @@ def _step_totals(arc_least: int, discount: float):
         name = np.where(arc, (int(pdf["bucket"].iloc[0]) << 32) + np.cumsum(arc) - 1, -1)
         to = np.empty(len(order), np.int64)
         to[order] = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(order)]))
-        rows = [(p, b, _pack(name[i]), _pack(total[i])) for p, b, i in zip(pdf["part"], pdf["bucket"], np.split(to, ends))]
+        rows = [(p, b, _pack_names(name[i]), _pack(total[i])) for p, b, i in zip(pdf["part"], pdf["bucket"], np.split(to, ends))]
         h, total = h[start][arc], total[arc]
         if len(h):
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
@@ -281,15 +295,14 @@ def _step_totals(arc_least: int, discount: float):
 
 
 def _masses(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of a bucket of states: each part's totals and masses."""
+    """Of a bucket of states: each part's masses."""
     parts, sums = pdf[pdf["part"] >= 0], pdf[pdf["part"] < 0]
-    names = [_unpack(b) for b in parts["name"]]
-    mass = np.zeros(1 + max([int((x & 0xFFFFFFFF)[x >= 0].max(initial=-1)) for x in names], default=-1))
+    names = [_names(b, 0) for b in parts["name"]]
+    mass = np.zeros(2 + max([int(x.max(initial=-1)) for x in names], default=-1))  # the last is of what is no state
     for h, x in zip(sums["name"], sums["total"]):
         mass[_unpack(h) & 0xFFFFFFFF] += _unpack(x, np.float64)
-    out = parts[["part", "bucket", "total"]].copy()
-    mass = np.r_[mass, 0.0]  # the last is of what is no state
-    out["mass"] = [_pack(mass[np.where(x >= 0, x & 0xFFFFFFFF, -1)]) for x in names]
+    out = parts[["part", "bucket"]].copy()
+    out["x"] = [_pack(mass[x]) for x in names]
     _give_back()
     return out
 
@@ -311,10 +324,9 @@ def _walk(folder: str, totals: Totals, discount: float):
     def run(rows: pa.Table) -> pa.Table:
         pdf = rows.to_pandas().sort_values("bucket")
         number = int(pdf["part"].iloc[0])
-        by = {k: pdf[pdf["kind"] == k] for k in (1, 2, 3)}
-        n1, n2, n3 = (_joined(by[k]["total"]) for k in (1, 2, 3))
-        mass1, mass2 = (_joined(by[k]["mass"], np.float64) for k in (1, 2))
-        del rows, pdf, by
+        n1, n2, n3 = (_joined(pdf["x"][pdf["kind"] == k]) for k in (1, 2, 3))
+        mass1, mass2 = (_joined(pdf["x"][pdf["kind"] == -k], np.float64) for k in (1, 2))
+        del rows, pdf
         part = _part(folder, number)
         two, three = (_unpack(_load(folder, number, k), np.int32) for k in ("2", "3"))
         known = n1.copy()
@@ -387,14 +399,20 @@ def score_documents(spark: SparkSession, docs: DataFrame, least: int | None = No
     words = kept_table(words, f"{folder}/words")
     totals = Totals(*[x or 0 for x in words.agg(*[F.sum(k) for k in Totals._fields]).collect()[0]])
 
-    states, found = words.select("part", "bucket", "name", "total"), []
-    for order in (2, 3):
-        steps = by(states.where("part >= 0").select("part", "bucket", "name"), "part").applyInPandas(_steps(folder, buckets, order), "part long, bucket long, h binary, w binary, n binary")
+    nothing = F.lit(None).cast("binary")
+    states, rows = words.select("part", "bucket", "name", "total"), None
+    for order in (1, 2, 3):
+        own = states.where("part >= 0")
+        got = own.select("part", "bucket", F.col("total").alias("x"), F.lit(order).alias("kind"))
+        rows = got if rows is None else rows.unionByName(got)
+        if order == 3:
+            break
+        steps = by(own.select("part", "bucket", "name"), "part").applyInPandas(_steps(folder, buckets, order + 1), "part long, bucket long, h binary, w binary, n binary")
         steps = by(steps, "bucket").applyInPandas(_step_totals(arc_least, discount), "part long, bucket long, name binary, total binary")
-        steps = kept_table(steps, f"{folder}/steps-{order}")
-        masses = by(states.where("part >= 0").unionByName(steps.where("part < 0")), "bucket").applyInPandas(_masses, "part long, bucket long, total binary, mass binary")
-        found.append(masses.withColumn("kind", F.lit(order - 1)))
+        steps = kept_table(steps, f"{folder}/steps-{order + 1}")
+        asked = own.select("part", "bucket", "name", nothing.alias("total")).unionByName(steps.where("part < 0"))
+        masses = by(asked, "bucket").applyInPandas(_masses, "part long, bucket long, x binary")
+        rows = rows.unionByName(masses.withColumn("kind", F.lit(-order)))
         states = steps
-    rows = found[0].unionByName(found[1]).unionByName(states.where("part >= 0").select("part", "bucket", "total", F.lit(None).cast("binary").alias("mass"), F.lit(3).alias("kind")))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return by(rows, "part").applyInArrow(_walk(folder, totals, discount), schema)

@@ -11,6 +11,7 @@ import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -221,88 +222,109 @@ def _word_totals(least: int):
     return run
 
 
-def _bucket(h: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
-    x = (h.astype(np.uint64) * _ODD ^ w.astype(np.uint64)) * _ODD
-    return ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def _shift(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h.astype(np.uint64) * _ODD >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _steps(folder: str, buckets: int, order: int):
-    """The distinct steps of a part's documents, by bucket: from a state by ``h`` to a state by ``w``, and how often learnt ones take them.
+class Steps(NamedTuple):
+    """The distinct steps of a part, sorted by bucket, ``h`` and ``w``; ``taken``: which of them each token is, or -1."""
 
-    Of order 2 from a word's state to the next word's; of order 3 from the state of two words to that of the last two, where both
-    pairs are arcs, as no other three words can be. A file keeps which step each token is, in the order of the rows.
-    """
+    taken: np.ndarray
+    h: np.ndarray
+    w: np.ndarray
+    bucket: np.ndarray
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        number, pdf = int(pdf["part"].iloc[0]), pdf.sort_values("bucket")
-        part, name = _part(folder, number), np.concatenate([_names(b, k) for b, k in zip(pdf["name"], pdf["bucket"])])
-        if order == 2:
-            h, w = part.before(), part.words
-        else:
-            w = _unpack(_load(folder, number, "2"), np.int32)
-            h = np.empty_like(w)
-            h[1:] = w[:-1]
-            h[part.starts] = -1
+
+def _taken(part: Part, names: list[np.ndarray], buckets: int) -> list[Steps]:
+    """Steps between states: with the names of the part's words from a word to the next; with those of its pairs then from two words to the last two.
+
+    Three words are a step only if both their pairs are arcs, as no other three words can be one. A step's bucket is that of w's name,
+    shifted by a hash of h: so steps to one word are spread, and w's bucket need not be sent.
+    """
+    h, w, out = part.before(), part.words, []
+    for name in names:
         known = np.r_[name >= 0, False]  # the last is of index -1
         at = np.flatnonzero(known[h] & known[w])
         code, step = np.unique(h[at].astype(np.int64) * len(name) + w[at], return_inverse=True)
-        n = np.bincount(step[part.learnt()[at]], minlength=len(code))
-        h, w = (name[code // len(name)], name[code % len(name)]) if len(code) else (code, code)
-        bucket = _bucket(h, w, buckets)
+        hs, ws = (name[code // len(name)], name[code % len(name)]) if len(code) else (code, code)
+        bucket = ((ws >> 32) + _shift(hs, buckets)) % buckets
         by = np.argsort(bucket, kind="stable")  # names grow with ranks, so h is sorted in each bucket
         place = np.empty(len(by), np.int32)
         place[by] = np.arange(len(by))
         taken = np.full(len(part.words), -1, np.int32)
         taken[at] = place[step]
-        _save(folder, number, str(order), _pack(taken))
-        h, w, n = h[by], w[by], n[by]
-        rows = [(number, b, _pack(np.diff(h[i:j], prepend=0)), _pack(w[i:j]), _pack(n[i:j])) for b, i, j in _slices(bucket[by])]
-        del part, name, code, step, at, taken, place, h, w, n
+        out.append(Steps(taken, hs[by], ws[by], bucket[by]))
+        w = taken
+        h = np.empty_like(w)
+        h[1:] = w[:-1]
+        h[part.starts] = -1
+    return out
+
+
+def _part_names(pdf: pd.DataFrame) -> np.ndarray:
+    return np.concatenate([_names(b, k) for b, k in zip(pdf["name"], pdf["bucket"])] or [np.zeros(0, np.int64)])
+
+
+def _steps(folder: str, buckets: int):
+    """The distinct steps of a part's documents, by bucket, and how often learnt ones take them."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        number, pdf = int(pdf["part"].iloc[0]), pdf.sort_values("bucket")
+        part = _part(folder, number)
+        taken, h, w, bucket = _taken(part, [_part_names(x) for _, x in pdf.groupby("kind")], buckets)[-1]
+        n = np.bincount(taken[(taken >= 0) & part.learnt()], minlength=len(h))
+        rows = [(number, b, _pack(np.diff(h[i:j], prepend=0)), _pack(w[i:j] & 0xFFFFFFFF), _pack(n[i:j])) for b, i, j in _slices(bucket)]
+        del part, taken, h, w, n, bucket
         _give_back()
         return pd.DataFrame(rows, columns=["part", "bucket", "h", "w", "n"])
 
     return run
 
 
-def _step_totals(arc_least: int, discount: float):
-    """Of a bucket of steps: each part's totals (0: no arc) and names of arcs (-1: none), and what the arcs take of each state, by the
-    bucket in the state's name (part -1)."""
+def _step_totals(arc_least: int, buckets: int):
+    """Of a bucket of steps: each part's totals (0: no arc) and names of arcs (-1: none); and each state's sum over its arcs, with their
+    number, by the bucket in the state's name (part -1)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(pdf["bucket"].iloc[0])
         hs = [np.cumsum(_unpack(b)) for b in pdf["h"]]
         ends = np.cumsum([len(x) for x in hs])[:-1]
-        h, w, n = np.concatenate(hs), _joined(pdf["w"]), _joined(pdf["n"])
+        h, n = np.concatenate(hs), _joined(pdf["n"])
+        w = ((bucket - _shift(h, buckets)) % buckets << 32) + _joined(pdf["w"])
         order = np.lexsort((w, h))
         h, w = h[order], w[order]
         start = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
         total = np.add.reduceat(n[order], start)
         total[total < arc_least] = 0
         arc = total > 0
-        name = np.where(arc, (int(pdf["bucket"].iloc[0]) << 32) + np.cumsum(arc) - 1, -1)
+        name = np.where(arc, (bucket << 32) + np.cumsum(arc) - 1, -1)
         to = np.empty(len(order), np.int64)
         to[order] = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(order)]))
-        rows = [(p, b, _pack_names(name[i]), _pack(total[i])) for p, b, i in zip(pdf["part"], pdf["bucket"], np.split(to, ends))]
+        rows = [(p, b, _pack_names(name[i]), _pack(total[i]), None) for p, b, i in zip(pdf["part"], pdf["bucket"], np.split(to, ends))]
         h, total = h[start][arc], total[arc]
         if len(h):
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            h, mass = h[first], np.add.reduceat(total - discount, first)
-            by = np.argsort(h >> 32, kind="stable")
-            rows += [(-1, b, _pack(h[by][i:j]), _pack(mass[by][i:j])) for b, i, j in _slices(h[by] >> 32)]
+            h, sums, arcs = h[first], np.add.reduceat(total, first), np.diff(np.r_[first, len(h)])
+            rows += [(-1, b, _pack_names(h[i:j]), _pack(sums[i:j]), _pack(arcs[i:j])) for b, i, j in _slices(h >> 32)]
         _give_back()
-        return pd.DataFrame(rows, columns=["part", "bucket", "name", "total"])
+        return pd.DataFrame(rows, columns=["part", "bucket", "name", "total", "arcs"])
 
     return run
 
 
 def _masses(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of a bucket of states: each part's masses."""
+    """Of a bucket of states: for each part the sums over its states' arcs, and their numbers."""
     parts, sums = pdf[pdf["part"] >= 0], pdf[pdf["part"] < 0]
     names = [_names(b, 0) for b in parts["name"]]
-    mass = np.zeros(2 + max([int(x.max(initial=-1)) for x in names], default=-1))  # the last is of what is no state
-    for h, x in zip(sums["name"], sums["total"]):
-        mass[_unpack(h) & 0xFFFFFFFF] += _unpack(x, np.float64)
+    most = 2 + max([int(x.max(initial=-1)) for x in names], default=-1)
+    total, arcs = np.zeros(most, np.int64), np.zeros(most, np.int64)  # the last is of what is no state
+    for h, x, k in zip(sums["name"], sums["total"], sums["arcs"]):
+        at = _names(h, 0)
+        total[at] += _unpack(x)
+        arcs[at] += _unpack(k)
     out = parts[["part", "bucket"]].copy()
-    out["x"] = [_pack(mass[x]) for x in names]
+    out["total"] = [_pack(total[x]) for x in names]
+    out["arcs"] = [_pack(arcs[x]) for x in names]
     _give_back()
     return out
 
@@ -313,7 +335,7 @@ class Totals(NamedTuple):
     documents: int
 
 
-def _walk(folder: str, totals: Totals, discount: float):
+def _walk(folder: str, totals: Totals, discount: float, buckets: int):
     """Scores a part's documents with the states and arcs that they can meet.
 
     The walk is of all the part's tokens at once. The state before a token is that of the last two words if they are an arc, else
@@ -324,11 +346,13 @@ def _walk(folder: str, totals: Totals, discount: float):
     def run(rows: pa.Table) -> pa.Table:
         pdf = rows.to_pandas().sort_values("bucket")
         number = int(pdf["part"].iloc[0])
-        n1, n2, n3 = (_joined(pdf["x"][pdf["kind"] == k]) for k in (1, 2, 3))
-        mass1, mass2 = (_joined(pdf["x"][pdf["kind"] == -k], np.float64) for k in (1, 2))
-        del rows, pdf
+        kind = {k: pdf[pdf["kind"] == k] for k in (1, 2, 3, -1, -2)}
+        n1, n2, n3 = (_joined(kind[k]["total"]) for k in (1, 2, 3))
+        mass1, mass2 = (_joined(kind[-k]["total"]) - discount * _joined(kind[-k]["arcs"]) for k in (1, 2))
+        names = [_part_names(kind[k]) for k in (1, 2)]
+        del rows, pdf, kind
         part = _part(folder, number)
-        two, three = (_unpack(_load(folder, number, k), np.int32) for k in ("2", "3"))
+        two, three = (x.taken for x in _taken(part, names, buckets))
         known = n1.copy()
         known[part.first] = 0
         root = np.log10((known + 1) / (totals.tokens + totals.distinct + 1))  # N + 1 * (V + 1)
@@ -376,7 +400,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, least: int | None = No
     the longest of what was read last that is one.
 
     Words and steps are counted over all training documents; the tables grow with the corpus and are never broadcast.
-    Documents are cut where they lie into parts of about ``part_bytes`` (a few files each in the shared folder). A part's counts go out in
+    Documents are cut where they lie into parts of about ``part_bytes`` (one file each in the shared folder). A part's counts go out in
     packed slices, one for each bucket of words or steps; a bucket sums its slices and answers each in the slice's own order, so
     only numbers come back, and a task holds one part or one bucket, whatever the corpus. Three words are only asked for if both
     their pairs are arcs, which every arc of three words needs.
@@ -399,20 +423,19 @@ def score_documents(spark: SparkSession, docs: DataFrame, least: int | None = No
     words = kept_table(words, f"{folder}/words")
     totals = Totals(*[x or 0 for x in words.agg(*[F.sum(k) for k in Totals._fields]).collect()[0]])
 
-    nothing = F.lit(None).cast("binary")
-    states, rows = words.select("part", "bucket", "name", "total"), None
+    nothing, states, rows, masses = F.lit(None).cast("binary"), words, [], []
     for order in (1, 2, 3):
-        own = states.where("part >= 0")
-        got = own.select("part", "bucket", F.col("total").alias("x"), F.lit(order).alias("kind"))
-        rows = got if rows is None else rows.unionByName(got)
+        # What a part knows of its words, pairs and threes: totals and names.
+        rows.append(states.where("part >= 0").select("part", "bucket", "name", "total", nothing.alias("arcs"), F.lit(order).alias("kind")))
         if order == 3:
             break
-        steps = by(own.select("part", "bucket", "name"), "part").applyInPandas(_steps(folder, buckets, order + 1), "part long, bucket long, h binary, w binary, n binary")
-        steps = by(steps, "bucket").applyInPandas(_step_totals(arc_least, discount), "part long, bucket long, name binary, total binary")
+        names = reduce(DataFrame.unionByName, [r.select("part", "bucket", "name", "kind") for r in rows])
+        steps = by(names, "part").applyInPandas(_steps(folder, buckets), "part long, bucket long, h binary, w binary, n binary")
+        steps = by(steps, "bucket").applyInPandas(_step_totals(arc_least, buckets), "part long, bucket long, name binary, total binary, arcs binary")
         steps = kept_table(steps, f"{folder}/steps-{order + 1}")
-        asked = own.select("part", "bucket", "name", nothing.alias("total")).unionByName(steps.where("part < 0"))
-        masses = by(asked, "bucket").applyInPandas(_masses, "part long, bucket long, x binary")
-        rows = rows.unionByName(masses.withColumn("kind", F.lit(-order)))
+        asked = rows[-1].select("part", "bucket", "name", nothing.alias("total"), nothing.alias("arcs")).unionByName(steps.where("part < 0"))
+        masses.append(by(asked, "bucket").applyInPandas(_masses, "part long, bucket long, total binary, arcs binary").select("part", "bucket", nothing.alias("name"), "total", "arcs", F.lit(-order).alias("kind")))
         states = steps
+    rows = reduce(DataFrame.unionByName, [*rows, *masses])
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return by(rows, "part").applyInArrow(_walk(folder, totals, discount), schema)
+    return by(rows, "part").applyInArrow(_walk(folder, totals, discount, buckets), schema)

@@ -57,53 +57,56 @@ def sainte_lague(votes: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
     return got
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, block: int = 64, most_shards: int = 256, seed: int = 17) -> DataFrame:
+def mix_sources(spark: SparkSession, docs: DataFrame, block: int = 64, most_streams: int = 256, seed: int = 17) -> DataFrame:
     """How many words of each document the mix takes, repeats counted.
 
-    Documents fall into shards by the hash of their id. A source's words in a shard form one stream, in seeded order, cut
-    into blocks of equal length near ``block`` words. Sainte-Lague gives each source its blocks for its target, then each of its
-    shards its share of them, at most three rounds of what is there. A quota of q of n blocks takes every block q // n
-    times, and q % n of them, from a seeded start around the stream, once more. No document is read more than three
-    times, and the sums meet the targets up to the rounding of single blocks.
+    A source's documents fall into streams by the hash of their id: one for each 1,024 blocks of its words, at most ``most_streams``. The
+    words of a stream are in seeded order, cut into blocks of equal length near ``block`` words. Sainte-Lague gives each source
+    its blocks for its target, then each of its streams its share of them, at most three rounds of what is there. A quota of q of n
+    blocks takes every block q // n times, and q % n of them, from a seeded start around the stream, once more. No
+    document is read more than three times, and the sums meet the targets up to the rounding of single blocks.
 
-    Adds ``size, source_size, target, taken`` to the columns of ``docs``, which may have others, but not of these names.
-    Null texts and texts without words have size 0 and take 0. A null source is a source, last in order. Repeated rows
-    are separate documents. An empty table gives no rows. Only one sum for each source and shard (at most
-    ``most_shards``) reaches the driver; the list of sources is bounded by the mix's own weights.
+    Adds ``size, source_size, target, taken`` to the columns of ``docs``, in place of columns of these names (names that begin with ``_mix_``
+    are used inside). Null texts and texts without words have size 0 and take 0. A null source is a source, last in order.
+    Repeated rows, and those of null ids, are separate documents. An empty table gives no rows. Only one sum for each source and hash
+    (of ``most_streams``) reaches the driver; the list of sources is bounded by the mix's own weights.
     """
-    d = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    sums = d.groupBy("source", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(most_shards)).alias("h")).agg(F.sum("size").alias("n")).collect()
+    d = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).drop("source_size", "target", "taken")
+    hashed = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(most_streams)).cast("int")
+    sums = d.groupBy("source", hashed.alias("h")).agg(F.sum("size").alias("n")).collect()
     names = sorted({r["source"] for r in sums}, key=lambda s: (s is None, [] if s is None else [ord(c) for c in s]))
     at = {s: i for i, s in enumerate(names)}
-    total = sum(r["n"] for r in sums)
-    shards = int(min(most_shards, max(1, total // (block * 1024))))
-    n = np.zeros((len(names), shards), np.int64)
+    by_hash = np.zeros((len(names), most_streams), np.int64)
     for r in sums:
-        n[at[r["source"]], r["h"] % shards] += r["n"]
-    size = n.sum(1)
+        by_hash[at[r["source"]], r["h"]] += r["n"]
+    size = by_hash.sum(1)
     goal = targets(size, np.array([WEIGHTS[i % len(WEIGHTS)] for i in range(len(names))])) if len(names) else np.zeros(0)
-    blocks = np.where(n > 0, np.maximum(1, np.rint(n / block)), 0).astype(np.int64)
-    quota = np.zeros_like(n)
-    if total:
-        # A stream's blocks are n / blocks words long, not just ``block``: votes are in such blocks.
-        long = size / np.maximum(1, blocks.sum(1))
-        each = sainte_lague(goal / np.maximum(long, 1e-9), round(float((goal / np.maximum(long, 1e-9)).sum())), MOST * blocks.sum(1))
-        for i in range(len(names)):
-            quota[i] = sainte_lague(n[i], int(each[i]), MOST * blocks[i])
-    kind = T.StructType([T.StructField("s_", T.StringType()), T.StructField("h_", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("source_size", "n_", "blocks_", "quota_")], T.StructField("target", T.DoubleType())])
-    rows = [(s, h, int(size[i]), int(n[i, h]), max(1, int(blocks[i, h])), int(quota[i, h]), float(goal[i])) for s, i in at.items() for h in range(shards)]
+    streams = np.clip(size // (block * 1024), 1, most_streams)
+    words = [np.bincount(np.arange(most_streams) % k, by_hash[i], k).astype(np.int64) for i, k in enumerate(streams)]
+    blocks = [np.where(n > 0, np.maximum(1, np.rint(n / block)), 0).astype(np.int64) for n in words]
+    quota = [np.zeros_like(b) for b in blocks]
+    if size.sum():
+        # A stream's blocks are words / blocks long, not just ``block``: votes are in such blocks.
+        count = np.array([b.sum() for b in blocks])
+        votes = goal / np.maximum(size / np.maximum(1, count), 1e-9)
+        each = sainte_lague(votes, round(float(votes.sum())), MOST * count)
+        quota = [sainte_lague(n, int(q), MOST * b) for n, q, b in zip(words, each, blocks)]
+    kind = T.StructType([T.StructField("_mix_source", T.StringType()), T.StructField("_mix_h", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("source_size", "_mix_n", "_mix_blocks", "_mix_quota")], T.StructField("target", T.DoubleType())])
+    rows = [(s, h, int(size[i]), int(words[i][h]), max(1, int(blocks[i][h])), int(quota[i][h]), float(goal[i])) for s, i in at.items() for h in range(streams[i])]
     plan = spark.createDataFrame(rows, kind)
-    d = d.withColumn("h_", F.pmod(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(most_shards)), F.lit(shards)).cast("int"))
-    w = Window.partitionBy("source", "h_").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", F.xxhash64("text"))
-    d = d.withColumn("to_", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    d = d.withColumn("from_", F.col("to_") - F.col("size"))
-    d = d.withColumnRenamed("h_", "hd_").join(plan, F.col("source").eqNullSafe(F.col("s_")) & (F.col("hd_") == F.col("h_")))
-    full, extra = F.expr("coalesce(quota_ div blocks_, 0)"), F.expr("coalesce(quota_ % blocks_, 0)")
-    start = F.expr(f"coalesce(pmod(xxhash64(source, h_, {seed + 2}), blocks_), 0)")
-    edge = lambda i: F.floor(i * F.col("n_") / F.col("blocks_"))
-    over = lambda a, b: F.greatest(F.lit(0), F.least(F.col("to_"), b) - F.greatest(F.col("from_"), a))
+    counts = spark.createDataFrame([(s, int(streams[i])) for s, i in at.items()], "_mix_source string, _mix_streams int")
+    same = F.col("source").eqNullSafe(F.col("_mix_source"))
+    d = d.join(F.broadcast(counts), same).drop("_mix_source")  # a row for each source, as on the driver
+    d = d.withColumn("_mix_at", F.pmod(hashed, F.col("_mix_streams"))).drop("_mix_streams")
+    w = Window.partitionBy("source", "_mix_at").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", F.xxhash64("text"))
+    d = d.withColumn("_mix_to", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    d = d.withColumn("_mix_from", F.col("_mix_to") - F.col("size")).join(plan, same & (F.col("_mix_at") == F.col("_mix_h")))
+    full, extra = F.expr("coalesce(_mix_quota div _mix_blocks, 0)"), F.expr("coalesce(_mix_quota % _mix_blocks, 0)")
+    start = F.expr(f"coalesce(pmod(xxhash64(source, _mix_h, {seed + 2}), _mix_blocks), 0)")
+    edge = lambda i: F.floor(i * F.col("_mix_n") / F.col("_mix_blocks"))
+    over = lambda a, b: F.greatest(F.lit(0), F.least(F.col("_mix_to"), b) - F.greatest(F.col("_mix_from"), a))
     end = start + extra
     # The run of blocks may pass the stream's end and go on at its beginning.
-    once = over(edge(start), edge(F.least(end, F.col("blocks_")))) + over(F.lit(0), edge(F.greatest(F.lit(0), end - F.col("blocks_"))))
+    once = over(edge(start), edge(F.least(end, F.col("_mix_blocks")))) + over(F.lit(0), edge(F.greatest(F.lit(0), end - F.col("_mix_blocks"))))
     taken = F.when(F.col("size") > 0, full * F.col("size") + F.when(extra > 0, once).otherwise(0)).otherwise(0).cast("long")
-    return d.withColumn("taken", taken).drop("s_", "h_", "hd_", "n_", "blocks_", "quota_", "from_", "to_")
+    return d.withColumn("taken", taken).drop(*[c for c in d.columns if c.startswith("_mix_")])

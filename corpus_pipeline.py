@@ -19,18 +19,26 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-equal fingerprints the document with the smallest id."""
-    keep = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of near copies the first document: those linked by a similarity of 0.8 of their sets of five-word shingles.
+
+    The first is that of the smallest id, then of the smallest digest of the text; null ids come last. A row is a document by its id (or none) and
+    text, so different texts of one id are different documents; rows that repeat both are one. Texts without words are copies of each other.
+    """
+    near = simhash.near_copies(docs)
+    keep = near.where(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("first_digest"))).select(F.col("doc_id").alias("kept_id"), "digest")
+    rows = docs.select(*COLUMNS).withColumn("digest", simhash.text_digest())
+    rows = rows.join(keep, (F.col("doc_id").eqNullSafe(F.col("kept_id"))) & (rows["digest"] == keep["digest"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "digest"]).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: its taken words over its words, rounded; so 0 to 3 times.
+    """Each document as often as the mix takes it: its taken words over its words, halves rounded up; so 0 to 3 times.
 
-    Documents without words cannot be counted in words and stay once.
+    A stream of a source (one for each 65,536 words) takes a run of blocks, so only the documents at the run's two ends are taken in part, and its
+    total stays within one document of its share. Documents without words cannot be counted in words and stay once.
     """
     mixed = mixing.mix_sources(spark, docs.select(*COLUMNS))
-    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1)))).otherwise(1).cast("int")
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5)).otherwise(1).cast("int")
     return mixed.withColumn("times", times).where("times > 0").withColumn("copy", F.explode(F.expr("sequence(1, times)"))).select(*COLUMNS)
 
 
@@ -42,7 +50,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", keep_quality), ("near_duplicates", drop_near_duplicates), ("mix", mix), ("sentencepiece", encode)]
 
-#: Nearest-neighbour votes, fingerprints and Viterbi can't be put in SQL; tests compare each stage with a plain version.
+#: Nearest-neighbour votes, fingerprints and Viterbi can't be put in SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 

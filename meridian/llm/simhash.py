@@ -150,6 +150,38 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> np.ndarray
     return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
 
 
+def _balls(half: int):
+    """Of whole groups of segments that agree in one half: what each one's ball of radius 1 meets in the table, and the table's entries that are met.
+
+    Column r has the other half's bits, then the side, then whether the segment looks up (it stands in a neighbouring division else).
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, r, node = (pdf[c].to_numpy() for c in ("k", "r", "node"))
+        rest, side, mine = r >> 2, (r >> 1) & 1, (r & 1).astype(bool)
+        group = np.cumsum(np.r_[0, k[1:] != k[:-1]]).astype(np.int64)
+        code, at, n = np.unique((group << half) + rest, return_inverse=True, return_counts=True)
+        active = (n > 1) & (np.bincount(at, side, len(code)) == 0)  # equal segments meet on one side only
+        to, who = [], []
+        for bit in range(half):
+            i = np.flatnonzero(mine & (rest >> bit & 1 == 0))  # of two that differ in a bit one has a 0 there
+            want = code[at[i]] + (1 << bit)
+            j = np.minimum(np.searchsorted(code, want), len(code) - 1)
+            hit = code[j] == want
+            to.append(j[hit])
+            who.append(node[i[hit]])
+        to, who = np.concatenate(to), np.concatenate(who)
+        active[to] = True
+        there = np.flatnonzero(active[at])
+        name = (k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + rest.astype(np.uint64)).view(np.int64)
+        names = np.empty(len(code), np.int64)
+        names[at] = name
+        kinds = np.r_[np.zeros(len(there), np.int32), np.ones(len(to), np.int32)]
+        return pd.DataFrame({"code": np.r_[names[at[there]], names[to]], "node": np.r_[node[there], who], "kind": kinds})
+
+    return run
+
+
 def _nearest(most: int):
     """Of whole groups of wide fingerprints: the spanning forest, closest pairs first, of those at ``most`` or fewer differing bits."""
 
@@ -193,9 +225,10 @@ def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, longs: int
     Documents are linked where the sets of their shingles of ``words`` words have a Jaccard similarity of ``least`` or more.
 
     1. Equal sets are one class. A class has a fingerprint of 64 * ``longs`` bits, cut in segments of ``segment`` bits.
-    2. Each segment's table has every fingerprint; each fingerprint looks up the ball of radius 1 around its segment, as in ``links``. Sets
-       can only be similar if their sizes are, so a table is divided by the size's logarithm: a fingerprint lies in its own division and the
-       nearer neighbour and looks up its own.
+    2. Each segment's table has every fingerprint; each fingerprint looks up the ball of radius 1 around its segment. A ball is
+       looked up where its table is: a segment goes out twice, by its upper and its lower half, and the other half's bits are
+       changed there. Sets can only be similar if their sizes are, so a table is divided by the size's logarithm: a
+       fingerprint lies in its own division and the nearer neighbour and looks up its own.
     3. Of what a lookup fetches the complete distance is taken. Pairs within the distance that ``least`` is expected at, and ``margin`` of
        all bits more, make up a spanning forest, closest pairs first, so groups of near copies send as many links as documents.
     4. The forest's pairs are checked exactly, on their sets (of 32-bit halves of the hashes). Components of what is left are the groups.
@@ -225,23 +258,22 @@ def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, longs: int
 
     some = classes.where("n > 0").select("node", "n", "fp")
     # Segments are cut from the fingerprint's longs in the JVM.
-    count = 64 * longs // segment
-    cut_out = []
+    count, half = 64 * longs // segment, segment // 2
+    cells = []
     for s in range(count):
         at, off = divmod(s * segment, 64)
         low = F.shiftrightunsigned(F.col("fp")[at], off)
         if off + segment > 64:
             low = low.bitwiseOR(F.shiftleft(F.col("fp")[at + 1], 64 - off))
-        cut_out.append(F.struct(F.lit(s).alias("s"), low.bitwiseAND(F.lit((1 << segment) - 1)).alias("c")))
+        c = low.bitwiseAND(F.lit((1 << segment) - 1))
+        upper, lower = F.shiftright(c, half), c.bitwiseAND(F.lit((1 << half) - 1))
+        for side, (key_half, rest) in enumerate(((upper, lower), (lower, upper))):
+            for mine, division in ((1, "own"), (0, "next")):
+                cells.append(F.struct(F.xxhash64(F.lit(s), F.lit(side), F.col(division), key_half).alias("k"), (rest * 4 + side * 2 + mine).cast("int").alias("r")))
     size = F.log(F.col("n").cast("double")) / (2 * math.log(1 / least))
-    cells = some.select("node", size.alias("x"), F.explode(F.array(*cut_out)).alias("p"))
-    cells = cells.select("node", F.floor("x").alias("own"), (F.floor("x") + F.when(F.col("x") - F.floor("x") < 0.5, -1).otherwise(1)).alias("next"), "p.s", "p.c")
-    code = lambda division, bits: F.xxhash64("s", division, bits)
-    table = cells.select("node", F.explode(F.array(code("own", "c"), code("next", "c"))).alias("code"), F.lit(0).alias("kind"))
-    bit = F.explode(F.array(*[F.lit(1 << i).cast("long") for i in range(segment)])).alias("bit")
-    ball = cells.select("node", "own", "s", "c", bit).where(F.col("c").bitwiseAND(F.col("bit")) == 0)
-    ball = ball.select("node", code("own", F.col("c").bitwiseOR(F.col("bit"))).alias("code"), F.lit(1).alias("kind"))
-    met = cut(table.unionByName(ball.join(table.select("code").distinct(), "code", "left_semi")))
+    divided = some.select("node", "fp", F.floor(size).alias("own"), (F.floor(size) + F.when(size - F.floor(size) < 0.5, -1).otherwise(1)).alias("next"))
+    cells = divided.select("node", F.explode(F.array(*cells)).alias("cell")).select("cell.*", "node")
+    met = cut(grouped(cells, ["k"], _balls(half), "code long, node long, kind int"))
     pairs = in_blocks(met, ["code"], F.xxhash64("node"), BLOCK).join(some.select("node", "fp"), "node")
     cosine = 2 * least / (1 + least)
     most = int(64 * longs * (math.acos(cosine) / math.pi + margin))

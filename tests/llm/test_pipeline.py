@@ -142,11 +142,11 @@ def test_wide_fingerprints_and_forests():
     many = np.random.default_rng(1).integers(0, 2**63, 40_000).astype(np.uint64)
     plain = np.zeros((8, 64), int)
     for k in range(8):
-        z = many + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+        z = many + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         z ^= z >> np.uint64(31)
         plain[k] = [int(((z >> np.uint64(b)) & np.uint64(1)).sum()) for b in range(64)]
-    assert [int(x) for x in simhash.wide_fingerprint(many)] == [sum(1 << b for b in range(64) if 2 * plain[k][b] > len(many)) for k in range(8)]
+    assert [int(x) for x in simhash.wide_fingerprint(many, 8)] == [sum(1 << b for b in range(64) if 2 * plain[k][b] > len(many)) for k in range(8)]
     a, b, cost = np.array([0, 1, 0, 2, 3]), np.array([1, 2, 2, 3, 0]), np.array([5, 1, 2, 9, 9])
     assert sorted(simhash.forest(5, a, b, cost).tolist()) in ([1, 2, 3], [1, 2, 4])

@@ -21,9 +21,9 @@ class BallTree:
     """Balls halved along their widest axis, down to LEAF points. Products are exact: in doubles while every possible
     one stays below 2**53, else in Python's integers."""
 
-    def __init__(self, points: np.ndarray, ids: np.ndarray):
+    def __init__(self, points: np.ndarray, ids: np.ndarray, rows: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.points, self.ids = points[order], ids[order]
+        self.points, self.ids, self.rows = points[order], ids[order], rows[order]
         self.wide = len(points) and np.abs(points).max() ** 2 * points.shape[1] >= 2**52
         self.root = self._build(np.arange(len(ids))) if len(ids) else None
 
@@ -46,7 +46,7 @@ class BallTree:
         return (q @ c.T).astype(np.int64)
 
     def search(self, q: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each query the scores and ids of its k best points but ``own``, best first, and whether an entry is one.
+        """For each query the scores and ids of its k best points but the row ``own``, best first, and whether an entry is one.
 
         ``floor`` is a score that the k-th best is known to reach; all nodes share the current k-th score, and a node whose
         bound q.center + |q| radius is less is left out with all below it. Of two nodes each query takes that with the
@@ -62,7 +62,7 @@ class BallTree:
 
         def scan(at: np.ndarray, rows: np.ndarray) -> None:
             s = self._products(q[rows], at)
-            ok = (self.ids[at][None, :] != own[rows][:, None]) & (s >= kth[rows][:, None])
+            ok = (self.rows[at][None, :] != own[rows][:, None]) & (s >= kth[rows][:, None])
             hit = ok.any(1)
             if not hit.any():
                 return
@@ -107,13 +107,13 @@ def _search(k: int):
             p = points[points["dim"] == dim]
             if not len(p):
                 continue
-            tree = BallTree(integers(p["v"]), p["vec_id"].to_numpy())
-            own = q["vec_id"].to_numpy()
+            tree = BallTree(integers(p["v"]), p["vec_id"].to_numpy(), p["row"].to_numpy())
+            own = q["row"].to_numpy()
             floor = q["floor"].astype(float).fillna(-np.inf).to_numpy()
             score, ids, some = tree.search(integers(q["v"]), own, k, floor)
             row, col = np.nonzero(some)
-            out.append(pd.DataFrame({"query_id": own[row], "vec_id": ids[row, col], "score": score[row, col]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+            out.append(pd.DataFrame({"query_row": own[row], "query_id": q["vec_id"].to_numpy()[row], "vec_id": ids[row, col], "score": score[row, col]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
     return run
 
@@ -121,31 +121,31 @@ def _search(k: int):
 def top_k(vectors: DataFrame, is_query, k: int = 5, shard_rows: int = 2048, query_rows: int = 8192, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row where ``is_query`` its k best other rows by integer inner product.
 
-    Rows fall into shards of about ``shard_rows`` by the hash of their id and queries into blocks of about
+    Rows fall into shards of about ``shard_rows`` by the hash of their number and queries into blocks of about
     ``query_rows``; each shard meets each block once. Before that, each query searches one shard alone; the k-th score found
     there is a floor under its final one, which prunes every other shard from the start. Of each shard's at most k rows a
     query, a window keeps the best; ties go to the smaller vec_id.
 
     Vectors that are null or hold null or non-finite components take no part, nor do rows without an id. Vectors meet only
-    those of equal length; empty ones have score 0 with each other. Rows that repeat an id count once, with the smallest
-    vector. Queries with fewer than k others return them all. Other columns are not read.
+    those of equal length; empty ones have score 0 with each other. Rows that repeat an id are points of their own, each a candidate for
+    the other; if the id is asked for, each is a query with ranks of its own. Queries with fewer than k others return them all. Other columns are not read.
     """
     v = F.col(vector).cast("array<double>")
     good = F.col(key).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.where(good).groupBy(F.col(key).cast("long").alias("vec_id")).agg(F.min(v).alias("v")).withColumn("dim", F.size("v"))
-    rows = cut(rows)
+    rows = vectors.where(good).select(F.col(key).cast("long").alias("vec_id"), v.alias("v"), F.size(v).alias("dim"))
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     n, m = rows.count(), rows.where(is_query).count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // query_rows))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
     asked = rows.where(is_query).withColumn("floor", F.lit(None).cast("long"))
-    schema = "query_id long, vec_id long, score long"
+    schema = "query_row long, query_id long, vec_id long, score long"
     seed = rows.groupBy("shard").cogroup(_apart(asked).groupBy("q_shard")).applyInPandas(_search(k), schema)
-    floors = seed.groupBy(F.col("query_id").alias("vec_id")).agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("c")).where(f"c >= {k}").drop("c")
-    asked = cut(asked.drop("floor", "shard").join(floors, "vec_id", "left"))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
+    floors = seed.groupBy(F.col("query_row").alias("row")).agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("c")).where(f"c >= {k}").drop("c")
+    asked = cut(asked.drop("floor", "shard").join(floors, "row", "left"))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks)).cast("int"))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     points = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     found = points.groupBy("shard", "block").cogroup(_apart(asked).groupBy("q_shard", "q_block")).applyInPandas(_search(k), schema)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    w = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")

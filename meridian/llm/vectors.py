@@ -54,7 +54,7 @@ def _compared(least: float):
         unit = sig = None
         for _, g in pdf.groupby(["label", "dim", "t", "code", "pair"], sort=False):
             unit, sig = _unit(g["v"]), np.stack(g["sig"].to_numpy())
-            rep, n, b, t = g["rep"].to_numpy(), g["c"].to_numpy(), g["b"].to_numpy(), g["t"].iloc[0]
+            rep, n, b, t = g["node"].to_numpy(), g["c"].to_numpy(), g["b"].to_numpy(), g["t"].iloc[0]
             x, y = np.nonzero(np.triu(unit @ unit.T >= least, 1))
             # A pair within one block meets in every group of the block; it counts where the block meets itself.
             ok = (b[x] != b[y]) | (g["own"].to_numpy()[0])
@@ -84,24 +84,29 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, tables: int = 64, bits
     never emitted: each block returns counts and a spanning forest. A pair in several tables counts in the first.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label, link with
-    nothing: 0 links, a component of their own. Vectors of different length never link. Repeated rows are vectors
-    of their own. Other columns are not read.
+    nothing: 0 links, a component of their own. Vectors of different length never link. Repeated rows, and different vectors
+    of one id, are vectors of their own. A row without an id links and is counted as any other; its component is the smallest id that it
+    reaches, null if there is none, and it is not kept. Other columns are not read.
     """
     v = F.col(vector).cast("array<double>")
     good = F.col(label).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     base = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(label).alias("label"), F.when(good, v).alias("v"))
-    classes = base.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("c")).withColumn("dim", F.size("v"))
-    schema = classes.select("*", F.lit(None).cast("array<int>").alias("sig")).schema
-    classes = cut(classes.mapInPandas(_hashed(tables, bits, width, seed), schema))
-    rows = classes.select("label", "dim", "rep", F.posexplode("sig").alias("t", "code"))
+    classes = base.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("c")).withColumn("dim", F.size("v"))
+    # An id may stand on several vectors or be null, so classes get numbers; ids stay beside Python, which would make doubles of them.
+    hashed = classes.withColumn("least_id", F.col("least_id").cast("string"))
+    schema = hashed.select("*", F.lit(None).cast("array<int>").alias("sig")).schema
+    classes = cut(hashed.mapInPandas(_hashed(tables, bits, width, seed), schema))
+    classes = cut(classes.withColumn("least_id", F.col("least_id").cast("long")).withColumn("node", F.monotonically_increasing_id()))
+    rows = classes.select("label", "dim", "node", F.posexplode("sig").alias("t", "code"))
     keys = ["label", "dim", "t", "code"]
-    pairs = in_blocks(rows, keys, F.xxhash64("rep"), BLOCK)
-    pairs = pairs.join(classes.select("rep", "v", "c", "sig"), "rep")
+    pairs = in_blocks(rows, keys, F.xxhash64("node"), BLOCK)
+    pairs = pairs.join(classes.select("node", "v", "c", "sig"), "node")
     found = cut(grouped(pairs, [*keys, "pair"], _compared(least), "a long, b long, n long"))
-    links = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
-    tops = components(found.where("a <> b").select("a", "b")).withColumnRenamed("node", "rep")
-    known = classes.join(links, "rep", "left").join(tops, "rep", "left")
-    known = cut(known.select(F.col("label").alias("l2"), F.col("v").alias("v2"), (F.coalesce("links", F.lit(0)) + F.col("c") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
-    out = base.where("v is not null").join(known, (F.col("label") == F.col("l2")) & (F.col("v") == F.col("v2"))).select("vec_id", "n_links", "component_id")
+    links = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
+    tops = components(found.where("a <> b").select("a", "b"))
+    known = cut(classes.join(links, "node", "left").join(tops, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    names = cut(known.groupBy("component").agg(F.min("least_id").alias("component_id")))
+    known = known.join(names, "component").select(F.col("label").alias("l2"), F.col("v").alias("v2"), (F.coalesce("links", F.lit(0)) + F.col("c") - 1).alias("n_links"), "component_id")
+    out = base.where("v is not null").join(cut(known), (F.col("label") == F.col("l2")) & (F.col("v") == F.col("v2"))).select("vec_id", "n_links", "component_id")
     alone = base.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

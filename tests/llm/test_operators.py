@@ -132,7 +132,7 @@ def test_top_k(spark, small):
 
 
 def test_top_k_of_odd_rows(spark):
-    rows = [(0, [1.0, 2.0], "x"), (1, [1.0, 2.0], "x"), (2, [1.0, 2.0], "x"), (3, None, "x"), (4, [float("nan"), 1.0], "x"), (5, [None, 1.0], "x"), (6, [1.0], "x"), (50, [1e12, -1e6], "x"), (2, [1.0, 2.0], "x"), (None, [1.0, 1.0], "x")]
+    rows = [(0, [1.0, 2.0], "x"), (1, [1.0, 2.0], "x"), (2, [1.0, 2.0], "x"), (3, None, "x"), (4, [float("nan"), 1.0], "x"), (5, [None, 1.0], "x"), (6, [1.0], "x"), (50, [1e12, -1e6], "x"), (None, [1.0, 1.0], "x")]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
     got = defaultdict(list)
     for r in topk.top_k(d, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
@@ -533,3 +533,34 @@ def test_near_vectors(spark, small):
     names = sorted(at)
     assert all(r["component_id"] == names[top[at[r["vec_id"]]]] and r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
     assert vectors.near_vectors(d.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id_are_vectors_of_their_own(spark):
+    big = 2**53 + 1
+    rows = [(0, [2.0, 0.0]), (1, [2.0, 0.0]), (1, [3.0, 0.0]), (50, [1.0, 1.0]), (50, [0.0, 5.0]), (None, [9.0, 9.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter(tuple(r) for r in topk.top_k(d, F.col("vec_id") % 50 == 0, k=2).collect())
+    u = 256 * 256
+    want = [(0, 1, 1, 6 * u), (0, 2, 1, 4 * u), (50, 1, 50, 5 * u), (50, 2, 1, 3 * u), (50, 1, 50, 5 * u), (50, 2, 0, 0)]
+    assert got == Counter(want)
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (big, [0.0, 2.0]), (None, [0.01, 1.0]), (None, [1.0, 0.0]), (None, [-1.0, 0.0]), (big - 2, [0.0, -1.0])]
+    d = spark.createDataFrame([(k, v, 1) for k, v in rows], "vec_id long, embedding array<double>, label int").coalesce(1)
+    got = Counter(tuple(r) for r in vectors.near_vectors(d).collect())
+    # The two rows of id 1 are in two components, each of which is named by it.
+    want = [(1, 1, 1, True), (None, 1, 1, False), (1, 2, 1, True), (big, 2, 1, False), (None, 2, 1, False), (None, 0, None, False), (big - 2, 0, big - 2, True)]
+    assert got == Counter(want)
+
+
+def test_vectors_near_the_threshold_are_found(spark):
+    rng = np.random.default_rng(12)
+    rows, pairs = [], 0
+    for i in range(600):
+        a = rng.standard_normal(64)
+        a /= np.linalg.norm(a)
+        b = rng.standard_normal(64)
+        b -= (a @ b) * a
+        b /= np.linalg.norm(b)
+        c = rng.uniform(0.9301, 0.95)
+        rows += [(2 * i, a.tolist(), i % 3), (2 * i + 1, (c * a + np.sqrt(1 - c * c) * b).tolist(), i % 3)]
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert sum(got[2 * i] >= 1 for i in range(600)) >= 0.98 * 600

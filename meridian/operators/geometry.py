@@ -171,12 +171,18 @@ def from_wkt(text: Column) -> Column:
 
 
 def centroid(parts: DataFrame, key: str) -> DataFrame:
-    """The area centroid of each key's polygons: shoelace sums, added up without collecting. Holes count negative."""
-    a, b = F.element_at("ring", F.col("i")), F.element_at("ring", F.col("i") + 1)
-    c = a["x"] * b["y"] - b["x"] * a["y"]
-    by = parts.withColumn("part_", F.monotonically_increasing_id()).select(key, "part_", F.posexplode("rings").alias("k", "ring"))
-    e = by.select(key, "part_", "k", "ring", F.explode(F.sequence(F.lit(1), F.size("ring") - 1)).alias("i"))
-    ring = e.groupBy(key, "part_", "k").agg(F.sum(c).alias("d"), F.sum((a["x"] + b["x"]) * c).alias("sx"), F.sum((a["y"] + b["y"]) * c).alias("sy"))
-    sign = F.signum("d") * F.when(F.col("k") == 0, 1).otherwise(-1)
-    sums = ring.groupBy(key).agg(F.sum(sign * F.col("d")).alias("d"), F.sum(sign * F.col("sx")).alias("sx"), F.sum(sign * F.col("sy")).alias("sy"))
-    return sums.select(key, (F.col("sx") / (3 * F.col("d"))).alias("x"), (F.col("sy") / (3 * F.col("d"))).alias("y"))
+    """The area centroid of each key's polygons: shoelace sums within each row, added up by key; no vertex is sent. Holes count negative; what has no area
+    has no centroid."""
+
+    def sums(ring: Column) -> Column:
+        side = lambda a, b: F.struct((a["x"] * b["y"] - b["x"] * a["y"]).alias("c"), (a["x"] + b["x"]).alias("x"), (a["y"] + b["y"]).alias("y"))
+        n = F.greatest(F.size(ring) - 1, F.lit(0))
+        none = F.struct(*[F.lit(0.0).alias(k) for k in ("d", "sx", "sy")])
+        add = lambda s, e: F.struct((s["d"] + e["c"]).alias("d"), (s["sx"] + e["x"] * e["c"]).alias("sx"), (s["sy"] + e["y"] * e["c"]).alias("sy"))
+        return F.aggregate(F.zip_with(F.slice(ring, 1, n), F.slice(ring, 2, n), side), none, add)
+
+    rings = F.transform("rings", lambda r, k: F.struct(sums(r).alias("s"), F.when(k == 0, 1).otherwise(-1).alias("sign")))
+    total = lambda k: F.aggregate("r", F.lit(0.0), lambda t, x: t + F.signum(x["s"]["d"]) * x["sign"] * x["s"][k])
+    rows = parts.select(key, rings.alias("r")).select(key, *[total(k).alias(k) for k in ("d", "sx", "sy")])
+    out = rows.groupBy(key).agg(*[F.sum(k).alias(k) for k in ("d", "sx", "sy")])
+    return out.select(key, *[F.try_divide(F.col(f"s{k}"), 3 * F.col("d")).alias(k) for k in ("x", "y")])

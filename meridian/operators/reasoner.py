@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rcc8 import UNIVERSAL, Calculus
+from ..functions.rcc8 import DC, NTPP, TPP, UNIVERSAL, Calculus
 
 
 class Inconsistent(ValueError):
@@ -18,7 +20,10 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     if sc.getCheckpointDir() is None:
         import tempfile
 
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="meridian-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir names no folder, and executors of a cluster share no temporary one")
+        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="meridian-"))
 
 
 def symmetrise(net: DataFrame, calculus: Calculus) -> DataFrame:
@@ -30,12 +35,13 @@ def symmetrise(net: DataFrame, calculus: Calculus) -> DataFrame:
 def compose_step(frontier: DataFrame, net: DataFrame, table: DataFrame) -> DataFrame:
     """Edges of the frontier extended by one edge of the network; no loops, nothing that says nothing.
 
-    The table is a constant of at most 65,025 rows, so it is broadcast.
+    The frontier meets the table first, a constant of at most 65,025 rows, so broadcast: what is left is the relations by which an edge says
+    something at all, and only network edges with one of them are joined. Two customers of one nation never meet.
     """
     n = net.select(F.col("lhs").alias("via"), F.col("rel").alias("r2"), F.col("rhs").alias("to"))
-    f = frontier.select("lhs", F.col("rel").alias("r1"), F.col("rhs").alias("via"))
-    joined = f.join(n, "via").where("lhs <> to").join(F.broadcast(table), ["r1", "r2"])
-    return joined.where(F.col("comp") != UNIVERSAL).select("lhs", F.col("comp").alias("rel"), F.col("to").alias("rhs"))
+    says = F.broadcast(table.where(F.col("comp") != UNIVERSAL))
+    f = frontier.select("lhs", F.col("rel").alias("r1"), F.col("rhs").alias("via")).join(says, "r1")
+    return f.join(n, ["via", "r2"]).where("lhs <> to").select("lhs", F.col("comp").alias("rel"), F.col("to").alias("rhs"))
 
 
 def refine_step(edges: DataFrame, new: DataFrame) -> DataFrame:
@@ -50,6 +56,16 @@ def sources_of(net: DataFrame, sources: DataFrame) -> DataFrame:
     return net.join(sources, "lhs", "left_semi")
 
 
+def may_contain(net: DataFrame, sources: DataFrame) -> DataFrame:
+    """Those of ``sources(lhs)`` that the network may prove to contain something.
+
+    A source whose every edge stays true when it shrinks to a small disc inside itself (it lies inside its partner, or may be apart from it) cannot
+    be proved to contain anything, as the disc could be chosen to miss that.
+    """
+    shrinks = [NTPP, TPP | NTPP, DC, DC | NTPP, DC | TPP | NTPP]
+    return sources.join(net.where(~F.col("rel").isin(shrinks)).select("lhs").distinct(), "lhs", "left_semi")
+
+
 def closure(net: DataFrame, sources: DataFrame, calculus: Calculus, most: int = 100) -> DataFrame:
     """``lhs, rel, rhs`` for what the symmetric network entails from ``sources(lhs)``.
 
@@ -60,7 +76,8 @@ def closure(net: DataFrame, sources: DataFrame, calculus: Calculus, most: int =
     spark = net.sparkSession
     ensure_checkpoints(spark)
     start = {r[0] for r in net.select("rel").distinct().collect()}  # at most 255 masks
-    table = calculus.compositions(spark, calculus.reachable(start)).cache()
+    # Edges grow by edges of the network, so r2 is one of its own relations.
+    table = calculus.compositions(spark, calculus.reachable(start)).where(F.col("r2").isin([int(r) for r in start])).cache()
     edges = sources_of(net, sources).groupBy("lhs", "rhs").agg(F.bit_and("rel").alias("rel"), F.lit(None).cast("int").alias("was")).checkpoint()
     try:
         for _ in range(most):

@@ -16,6 +16,7 @@ from . import bgp
 from .engine import Engine
 from .fixture import BASE, SCHEMA, Fixture
 from .sparql import RDF_TYPE, Pattern
+from .store import Store, read_predicates
 
 Build = Callable[[Fixture], DataFrame]
 BUILDS: dict[str, Build] = {}
@@ -26,6 +27,20 @@ C = F.col
 R = BASE
 PREFIXES = f"PREFIX schema: <{SCHEMA}> PREFIX r: <{BASE}> PREFIX geo: <http://www.opengis.net/ont/geosparql#> PREFIX geof: <http://www.opengis.net/def/function/geosparql/> "
 
+# Fixed values for the SQL, apart from the engine's own: the composition of two basic relations (128 DC, 64 EC, 32 PO, 16 TPP, 8 NTPP, 4 TPPi,
+# 2 NTPPi, 1 EQ), row by row, column by column, as sums of relations.
+BASIC_SETS = """
+255 248 248 248 248 128 128 128
+230 245 248 120 56 192 128 64
+230 230 255 56 56 230 230 32
+128 192 248 24 8 245 230 16
+128 128 248 8 8 248 255 8
+230 102 38 53 56 6 2 4
+230 38 38 38 63 2 2 2
+128 64 32 16 8 4 2 1
+"""
+BASIC = "VALUES " + ",".join(f"({128 >> i},{128 >> j},{c})" for i, row in enumerate(BASIC_SETS.strip().splitlines()) for j, c in enumerate(row.split()))
+
 # The fixture graph in SQL. Every oracle begins with it.
 WITH = f"""WITH RECURSIVE
 nat AS (SELECT n_nationkey::BIGINT n, '<{R}nation_'||n_nationkey||'>' id, n_name nm, '<{R}region_'||n_regionkey||'>' parent, (10*(n_nationkey%5))::DOUBLE x0, (10*(n_nationkey//5))::DOUBLE y0 FROM nation),
@@ -44,11 +59,14 @@ tri(s,p,o) AS (SELECT s,'<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>',o FR
 area AS (SELECT id, 0 part_id, 1::BIGINT cnt, (10*r)::DOUBLE xmin, 0::DOUBLE ymin, (10*r+10)::DOUBLE xmax, 50::DOUBLE ymax FROM reg UNION ALL SELECT id, 0, 1, x0, y0, x0+10, y0+10 FROM nat UNION ALL SELECT id, part_id, 2, x, y, x+1, y+1 FROM spart),
 gm AS (SELECT * FROM area UNION ALL SELECT id, 0, 1, x, y, x, y FROM cus),
 net(s,rel,o) AS (SELECT id,8,parent FROM cus UNION ALL SELECT id,24,parent FROM nat UNION ALL SELECT a.id,64,b.id FROM nat a JOIN nat b ON abs(a.x0-b.x0)<=10 AND abs(a.y0-b.y0)<=10 AND a.n<b.n UNION ALL SELECT a.id,64,b.id FROM reg a JOIN reg b ON b.r=a.r+1),
-conv(m,c) AS (VALUES {','.join(f'({m},{CALCULUS.converse(m)})' for m in range(256))}),
+basic(r1,r2,c) AS ({BASIC}),
+conv(m,c) AS (SELECT m::INTEGER, bit_or(c)::INTEGER FROM range(256) a(m), (VALUES (0,0),(128,128),(64,64),(32,32),(16,4),(8,2),(4,16),(2,8),(1,1)) v(r,c) WHERE r=0 OR m&r<>0 GROUP BY m),
 sym(s,rel,o) AS (SELECT s,rel,o FROM net UNION SELECT o,conv.c,s FROM net JOIN conv ON conv.m=rel)
 """
-SETS = sorted(CALCULUS.reachable({64, 8, 24, 2, 6}))
-COMP = f"comp(r1,r2,c) AS (VALUES {','.join(f'({a},{b},{CALCULUS.compose(a, b)})' for a in SETS for b in SETS if a and b)})"
+# The sets of relations that composition and intersection make of the fixture's.
+SETS = [0, 2, 4, 6, 8, 16, 24, 32, 36, 38, 48, 53, 55, 56, 61, 63, 64, 96, 100, 102, 112, 117, 119, 120, 125, 127, 128, 192, 224, 228, 230, 240, 245, 247, 248, 253]
+IN_SETS = f"sets(m) AS (VALUES {','.join(f'({m})' for m in SETS)})"
+COMP = f"{IN_SETS}, comp(r1,r2,c) AS (SELECT a.m, b.m, bit_or(c)::INTEGER FROM sets a, sets b, basic WHERE a.m&r1<>0 AND b.m&r2<>0 GROUP BY a.m, b.m)"
 WITHIN_BOX = "q.xmin>=p.xmin AND q.ymin>=p.ymin AND q.xmax<=p.xmax AND q.ymax<=p.ymax AND (q.xmin<q.xmax OR (q.xmin>p.xmin AND q.xmin<p.xmax AND q.ymin>p.ymin AND q.ymin<p.ymax))"
 TOUCH_BOX = "q.xmin<=p.xmax AND p.xmin<=q.xmax AND q.ymin<=p.ymax AND p.ymin<=q.ymax AND NOT (q.xmin<p.xmax AND p.xmin<q.xmax AND q.ymin<p.ymax AND p.ymin<q.ymax)"
 
@@ -227,6 +245,60 @@ def _(f):
     return Engine(f.spark, f).query(PREFIXES + "SELECT ?n WHERE { ?n a schema:Country } ORDER BY DESC(?n) LIMIT 7")
 
 
+NATION = "?n a schema:Country"
+
+
+@add("sparql_optional", "SELECT nat.id AS n, dis.o AS d FROM nat LEFT JOIN dis ON dis.s=nat.id")
+def _(f):
+    return Engine(f.spark, f).query(PREFIXES + f"SELECT ?n ?d WHERE {{ {NATION} . OPTIONAL {{ ?n schema:dissolutionDate ?d }} }}")
+
+
+@add("sparql_union", f"SELECT id AS x, id AS c, NULL::VARCHAR AS n FROM cus WHERE seg='<{R}segment_BUILDING>' UNION ALL SELECT id, NULL, parent FROM sup")
+def _(f):
+    first, second = "?x schema:memberOf r:segment_BUILDING . ?x a schema:Person", "?x a schema:Organization . ?x schema:containedInPlace ?n"
+    out = Engine(f.spark, f).query(PREFIXES + f"SELECT ?x ?n WHERE {{ {{ {first} }} UNION {{ {second} }} }}")
+    return out.select("x", F.when(C("n").isNull(), C("x")).alias("c"), "n")
+
+
+@add("sparql_nested", "SELECT c.id AS c, c.parent AS n, dis.o AS d FROM cus c LEFT JOIN dis ON dis.s=c.parent WHERE c.seg IN ('<%ssegment_BUILDING>','<%ssegment_MACHINERY>')" % (R, R))
+def _(f):
+    either = "{ ?c schema:memberOf r:segment_BUILDING } UNION { ?c schema:memberOf r:segment_MACHINERY }"
+    return Engine(f.spark, f).query(PREFIXES + f"SELECT ?c ?n ?d WHERE {{ {{ ?c schema:birthPlace ?n }} {either} OPTIONAL {{ ?n schema:dissolutionDate ?d }} }}")
+
+
+@add("sparql_offset", "SELECT s AS n FROM typ WHERE o='<%sCountry>' ORDER BY s OFFSET 5 LIMIT 9" % SCHEMA)
+def _(f):
+    return Engine(f.spark, f).query(PREFIXES + f"SELECT ?n WHERE {{ {NATION} }} ORDER BY ?n LIMIT 9 OFFSET 5")
+
+
+@add("sparql_window_touches", "SELECT id AS n FROM nat WHERE x0<=20 AND x0+10>=10 AND y0<=20 AND y0+10>=10 AND NOT (x0<20 AND x0+10>10 AND y0<20 AND y0+10>10)")
+def _(f):
+    return Engine(f.spark, f).query(PREFIXES + f'SELECT ?n WHERE {{ {NATION} . FILTER(geof:sfTouches(?n, "POLYGON((10 10,20 10,20 20,10 20,10 10))"^^geo:wktLiteral)) }}', "quan")
+
+
+@add("query_file", f"SELECT 1 AS place, m.s AS x FROM mem m JOIN bir b USING (s) JOIN nat ON nat.id=b.o WHERE m.o='<{R}segment_BUILDING>' AND nat.parent='<{R}region_1>' UNION ALL SELECT 2, id FROM nat WHERE parent='<{R}region_3>'")
+def _(f):
+    path = scratch(f.spark)
+    Store.write(f.spark, f.triples, f.network, f.geometries, path)
+    names = f.spark.createDataFrame([("schema.org/birthPlace",), ("",), ("schema.org/memberOf",), ("www.w3.org/type",)], "value string")
+    names.coalesce(1).write.text(f"{path}/predicates")
+    store = Store(f.spark, f"{path}/triples", f"{path}/network", f"{path}/geometries", read_predicates(f.spark, f"{path}/predicates"))
+    first = "SELECT ?x WHERE { ?x schema:memberOf r:segment_BUILDING . ?x schema:birthPlace ?n . ?n geo:sfWithin r:region_1 . }"
+    second = f"SELECT ?x WHERE {{ ?x a schema:Country . ?x geo:sfWithin r:region_3 . }}"
+    ran = Engine(f.spark, store).run_file("\n-----\n".join(PREFIXES + q for q in (first, second)))
+    parts = [df.select(F.lit(i + 1).alias("place"), "x") for i, (_, df) in enumerate(ran)]
+    return parts[0].unionByName(parts[1])
+
+
+@add("src_feature_lines", "SELECT '\"NAME\": \"'||nm||'\",' AS line FROM nat")
+def _(f):
+    path = scratch(f.spark)
+    text = F.concat(F.lit('"NAME": "'), C("name"), F.lit('",'))
+    rows = f.nation.select(F.explode(F.array(text, F.lit("}"), F.lit("{"), F.lit('"OTHER": 1'))).alias("value"))
+    rows.write.text(path)
+    return io.feature_lines(f.spark, path, ["NAME"]).select(C("value").alias("line"))
+
+
 # Scalar functions
 
 
@@ -437,13 +509,22 @@ def _(f):
     return spatial.points_in_boxes(_subjects(f), boxes).select(C("l_subject").alias("subject"), C("r_id").alias("region_id"))
 
 
-@add("pip_unplaced", "SELECT p.id AS subject FROM pts p WHERE NOT EXISTS (SELECT 1 FROM nat WHERE n%3=0 AND p.x>x0 AND p.x<x0+10 AND p.y>y0 AND p.y<y0+10)")
+@add("pip_unplaced", "SELECT p.id AS subject FROM pts p WHERE NOT EXISTS (SELECT 1 FROM spart s WHERE p.x>s.x AND p.x<s.x+1 AND p.y>s.y AND p.y<s.y+1)")
 def _(f):
-    areas = G.with_envelope(f.nation_areas.join(f.nation.where("n % 3 = 0").select("id"), "id", "left_semi"))
-    found = spatial.points_in_polygons(_subjects(f), areas).select(C("l_subject").alias("subject"))
+    found = spatial.points_in_polygons(_subjects(f), G.with_envelope(f.supplier_parts)).select(C("l_subject").alias("subject"))
     return f.points.select(C("id").alias("subject")).join(found, "subject", "left_anti")
 
 
+@add("pip_two_layers", "SELECT p.id AS subject, s.id AS region_id, 1 AS layer FROM pts p JOIN spart s ON p.x>s.x AND p.x<s.x+1 AND p.y>s.y AND p.y<s.y+1 UNION ALL SELECT p.id, nat.id, 0 FROM pts p JOIN nat ON p.x>x0 AND p.x<x0+10 AND p.y>y0 AND p.y<y0+10 WHERE NOT EXISTS (SELECT 1 FROM spart s WHERE p.x>s.x AND p.x<s.x+1 AND p.y>s.y AND p.y<s.y+1)")
+def _(f):
+    # The fine layer first; what it leaves is written beside the result and placed in the coarse one.
+    fine, path = spatial.points_in_polygons(_subjects(f), G.with_envelope(f.supplier_parts)), scratch(f.spark)
+    _subjects(f).join(fine.select(C("l_subject").alias("subject")), "subject", "left_anti").write.parquet(path)
+    coarse = spatial.points_in_polygons(f.spark.read.parquet(path), G.with_envelope(f.nation_areas))
+    pick = lambda df, layer: df.select(C("l_subject").alias("subject"), C("r_id").alias("region_id"), F.lit(layer).alias("layer"))
+    return pick(fine, 1).unionByName(pick(coarse, 0))
+
+
 @add("anti_matched_points", "SELECT s AS subject, o AS object FROM cip WHERE s NOT IN (SELECT subject FROM m0)", LABELS, PLACED, CANDS, L0, L0BEST)
 def _(f):
     return network.without(f.predicate("containedInPlace").select("subject", "object"), matches0(f))
@@ -474,11 +555,11 @@ def _(f):
     return spatial.nearest(f.customer.select(C("id").alias("subject"), "x", "y"), sites)
 
 
-PARENTS = "par AS (SELECT id FROM nat WHERE n<10 UNION ALL SELECT id FROM reg)"
+PARENTS = "par AS (SELECT id FROM nat UNION ALL SELECT id FROM reg)"
 
 
 def _parents(f: Fixture) -> DataFrame:
-    return f.nation.where("n < 10").select("id").unionByName(f.region.select("id"))
+    return f.nation.select("id").unionByName(f.region.select("id"))
 
 
 @add("quan_containment", f"SELECT p.id AS parent, q.id AS child FROM area p JOIN par ON par.id=p.id JOIN area q ON q.id<>p.id AND {WITHIN_BOX} JOIN sup ON sup.id=q.id GROUP BY p.id, q.id HAVING count(DISTINCT q.part_id)=max(q.cnt)", PARENTS)
@@ -496,9 +577,9 @@ def _(f):
     return spatial.adjacency(f.geometries, _parents(f), f.nation.select("id"))
 
 
-@add("quan_adjacency_all", f"SELECT DISTINCT p.id AS parent, q.id AS child FROM area p JOIN par ON par.id=p.id JOIN area q ON q.id<>p.id AND {TOUCH_BOX}", PARENTS)
+@add("quan_adjacency_all", f"SELECT DISTINCT p.id AS parent, q.id AS child FROM gm p JOIN par ON par.id=p.id JOIN gm q ON q.id<>p.id AND {TOUCH_BOX}", PARENTS)
 def _(f):
-    return spatial.adjacency(f.areas, _parents(f))
+    return spatial.adjacency(f.geometries, _parents(f))
 
 
 WINDOW = "POLYGON((-1 -1,21.25 -1,21.25 21.25,-1 21.25,-1 -1))"
@@ -523,9 +604,12 @@ def _(f):
 # Reasoning
 
 
-@add("rcc8_calculus", f"SELECT r1, r2, c AS comp FROM basic", f"basic(r1,r2,c) AS (VALUES {','.join(f'({1 << (7 - i)},{1 << (7 - j)},{CALCULUS.basic[i][j]})' for i in range(8) for j in range(8))})")
+@add("rcc8_calculus", "SELECT r1, r2, c AS comp FROM basic")
 def _(f):
-    return CALCULUS.compositions(f.spark, [1 << i for i in range(8)])
+    # Read back from a calculus file: relations, converses, a line for each cell.
+    cells = [f"{i + 1} {j + 1} {','.join(map(str, rcc8.numbers(c)))}" for i, row in enumerate(CALCULUS.basic) for j, c in enumerate(row)]
+    text = "\n".join([" ".join(rcc8.NAMES), " ".join(map(str, rcc8.CONVERSES)), *cells])
+    return rcc8.Calculus.parse(text).compositions(f.spark, [1 << i for i in range(8)])
 
 
 @add("rcc8_codec", "SELECT m::INTEGER AS mask, coalesce(string_agg(CASE WHEN (m>>(8-r))&1=1 THEN r||',' END, '' ORDER BY r),'') AS rels FROM range(256) a(m), range(1,9) b(r) GROUP BY m")
@@ -539,12 +623,12 @@ def _(f):
     return f.spark.range(256).select(C("id").cast("int").alias("mask")).select("mask", CALCULUS.converses_of(C("mask")).alias("converse"))
 
 
-@add("rcc8_comp_table", "SELECT a.m AS r1, b.m AS r2, bit_or(c)::INTEGER AS comp FROM sets a, sets b, basic WHERE a.m&r1<>0 AND b.m&r2<>0 GROUP BY a.m, b.m", f"sets(m) AS (VALUES {','.join(f'({m})' for m in SETS if m)})", f"basic(r1,r2,c) AS (VALUES {','.join(f'({1 << (7 - i)},{1 << (7 - j)},{CALCULUS.basic[i][j]})' for i in range(8) for j in range(8))})")
+@add("rcc8_comp_table", "SELECT r1, r2, c AS comp FROM comp", COMP)
 def _(f):
     return CALCULUS.compositions(f.spark, SETS)
 
 
-@add("rcc8_intersect", "SELECT a.m AS r1, b.m AS r2, (a.m&b.m)::INTEGER AS both FROM sets a, sets b", f"sets(m) AS (VALUES {','.join(f'({m})' for m in SETS)})")
+@add("rcc8_intersect", "SELECT a.m AS r1, b.m AS r2, (a.m&b.m)::INTEGER AS both FROM sets a, sets b", IN_SETS)
 def _(f):
     s = f.spark.createDataFrame([(m,) for m in SETS], "m int")  # 36 sets
     return s.select(C("m").alias("r1")).crossJoin(F.broadcast(s.select(C("m").alias("r2")))).select("r1", "r2", C("r1").bitwiseAND(C("r2")).alias("both"))
@@ -555,7 +639,7 @@ def _(f):
     return f.spark.range(256).select(C("id").cast("int").alias("mask")).select("mask", F.bit_count("mask").alias("size"))
 
 
-@add("rcc8_possible_rels", f"SELECT m FROM (VALUES {','.join(f'({m})' for m in SETS)}) v(m)")
+@add("rcc8_possible_rels", "SELECT m FROM sets", IN_SETS)
 def _(f):
     net = reasoner.symmetrise(f.network, CALCULUS)
     start = {r[0] for r in net.select("rel").distinct().collect()}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.rcc8 import CONTAINS, TOUCHES, WITHIN, Calculus, entails, overlaps
 from ..operators import geometry, reasoner, spatial
 from . import bgp
-from .sparql import Pattern, Query, Unsupported, is_var, parse
+from .sparql import Group, Pattern, Query, Unsupported, is_var, parse, parse_file
 
 ASKED = {"within": WITHIN, "contains": CONTAINS, "touches": TOUCHES}
 
@@ -26,21 +26,34 @@ class Engine:
         q = parse(text) if isinstance(text, str) else text
         if mode not in ("qual", "quan", "hybrid"):
             raise ValueError(f"no mode {mode!r}")
-        if mode == "qual" and q.windows:
+        if mode == "qual" and q.has_windows:
             raise Unsupported("a polygon has no place in the network; use quan or hybrid")
-        frames = bgp.plan(q.plain, self.graph.scan)
-        for p in q.spatial:
-            frames = self._spatial(p, frames, "quan" if mode == "quan" else "qual")
-        for var, wkt in q.windows:
-            hits = self.window(wkt, mode).withColumnRenamed("child", var[1:])
-            frames = self._joined(hits, frames)
-        df = reduce(lambda a, b: a.crossJoin(b), frames)  # components that nothing links: the query asks for all combinations
+        df = self._group(q, mode)
         out = df.select(*[F.col(v[1:]) for v in q.select])
         out = out.distinct() if q.distinct else out
         if q.order:
             out = out.orderBy(*[F.desc(v[1:]) if down else F.asc(v[1:]) for v, down in q.order])
+        out = out.offset(q.offset) if q.offset else out
         return out if q.limit is None else out.limit(q.limit)
 
+    def _group(self, g: Group, mode: str) -> DataFrame:
+        """The bindings of a group: its triples, relations and windows, joined with its unions, then with what is optional."""
+        frames = bgp.plan(g.plain, self.graph.scan) if g.plain else []
+        for choices in g.unions:
+            both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [self._group(c, mode) for c in choices])
+            frames = self._joined(both, frames)
+        for p in g.spatial:
+            frames = self._spatial(p, frames, "quan" if mode == "quan" else "qual")
+        for var, wkt, relation in g.windows:
+            hits = self.window(wkt, mode, relation).withColumnRenamed("child", var[1:])
+            frames = self._joined(hits, frames)
+        df = reduce(lambda a, b: a.crossJoin(b), frames)  # components that nothing links: the query asks for all combinations
+        for o in g.optionals:
+            other = self._group(o, mode)
+            shared = [c for c in other.columns if c in df.columns]
+            df = df.join(other, shared, "left") if shared else df.join(other, F.lit(True), "left")
+        return df
+
     def _ids(self, term: str, frames: list[DataFrame]) -> DataFrame | None:
         """Candidate ids of a term: one row for a constant, a variable's bindings, or none: all."""
         if not is_var(term):
@@ -89,16 +102,27 @@ class Engine:
         """``parent, child``: what the network entails between the sources and any (or the given) targets."""
         net = reasoner.symmetrise(self.graph.network, self.calculus).persist()
         heads = net.select("lhs").distinct() if sources is None else sources.select(F.col("id").alias("lhs"))
+        if asked == WITHIN and not self.lax:
+            heads = reasoner.may_contain(net, heads)
         found = reasoner.closure(net, heads, self.calculus)
         net.unpersist()
         test = overlaps if self.lax else entails
         out = found.where(test(F.col("rel"), asked)).select(F.col("lhs").alias("parent"), F.col("rhs").alias("child"))
         return out if targets is None else out.join(targets.select(F.col("id").alias("child")), "child", "left_semi").select("parent", "child")
 
-    def window(self, wkt: str, mode: str) -> DataFrame:
-        """``child``: what lies in a polygon; in hybrid mode also what the network proves to be inside of that."""
-        hits = spatial.within_window(self.graph.geometries, geometry.parse_wkt(wkt))
+    def window(self, wkt: str, mode: str, relation: str = "within") -> DataFrame:
+        """``child``: what lies in a polygon (or touches it, or contains it); of what lies in it, in hybrid mode also what the network proves to be inside of that."""
+        rings = geometry.parse_wkt(wkt)
+        if relation != "within":
+            return spatial.related_to_window(self.graph.geometries, rings, relation)
+        hits = spatial.within_window(self.graph.geometries, rings)
         if mode != "hybrid":
             return hits
+        reasoner.ensure_checkpoints(self.spark)
+        hits = hits.checkpoint()
         found = self.reasoned(hits.select(F.col("child").alias("id")), WITHIN)
-        return hits.unionByName(found.select(F.col("parent").alias("child"))).unionByName(found.select("child")).distinct()
+        return hits.unionByName(found.select("child")).distinct()
+
+    def run_file(self, text: str, mode: str = "qual") -> list[tuple[Query, DataFrame]]:
+        """The queries of a file, in order, each with its plan; a query's time is that of its own action."""
+        return [(q, self.query(q, mode)) for q in parse_file(text)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +20,11 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(*[F.get(part, i).alias(c) for i, c in enumerate(("subject", "predicate", "object"))])
 
 
-def write_vertical(triples: DataFrame, path: str) -> None:
+def write_vertical(triples: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One dataset, partitioned by host and local name: one job for all predicates. The IRI stays as a column."""
     key = F.split(terms.vp_key(F.col("predicate")), "/")
     rows = triples.withColumns({"host": F.get(key, 0), "pred": F.get(key, 1)})
-    rows.repartition("host", "pred", F.pmod(F.xxhash64("subject"), F.lit(32))).write.mode("overwrite").partitionBy("host", "pred").parquet(path)
+    rows.repartition("host", "pred", F.pmod(F.xxhash64("subject"), F.lit(32))).write.mode(mode).partitionBy("host", "pred").parquet(path)
 
 
 def read_vertical(spark: SparkSession, path: str, local: str | None = None, predicate: str | None = None) -> DataFrame:
@@ -35,6 +37,13 @@ def read_vertical(spark: SparkSession, path: str, local: str | None = None, pred
     return df.select("subject", "predicate", "object")
 
 
+def feature_lines(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """``value``: the lines of a pretty-printed collection that hold one of ``names`` as a property, without the collection's own first and last lines."""
+    lines = spark.read.text(path)
+    wrap = F.trim("value").isin("{", "}")
+    return lines.where(~wrap & reduce(lambda a, b: a | b, [F.contains("value", F.lit(f'"{n}"')) for n in names]))
+
+
 def read_geojson(spark: SparkSession, path: str, id_col: str, name_col: str, lines: bool = False) -> DataFrame:
     """``region_id, name, part_id, rings``: a row for each polygon of a feature or collection: a file each, or a line each.
 
@@ -65,9 +74,9 @@ def read_properties(spark: SparkSession, path: str, names: list[str]) -> DataFra
     return spark.read.schema(f"properties struct<{fields}>").json(path).select("properties.*").distinct()
 
 
-def write_network(net: DataFrame, path: str) -> None:
+def write_network(net: DataFrame, path: str, mode: str = "overwrite") -> None:
     """``lhs rels rhs 1`` lines."""
-    net.select(F.concat_ws(" ", F.col("lhs").cast("string"), format_set(F.col("rel")), F.col("rhs").cast("string"), F.lit("1")).alias("value")).write.mode("overwrite").text(path)
+    net.select(F.concat_ws(" ", F.col("lhs").cast("string"), format_set(F.col("rel")), F.col("rhs").cast("string"), F.lit("1")).alias("value")).write.mode(mode).text(path)
 
 
 def read_network(spark: SparkSession, path: str) -> DataFrame:

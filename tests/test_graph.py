@@ -1,5 +1,8 @@
 """The algebra, the parser, geometry, and the queries against their SQL."""
 
+import math
+import random
+
 import oracle
 import pytest
 
@@ -54,7 +57,7 @@ def test_polygons():
 
 def test_parser():
     q = sparql.parse('PREFIX s: <http://schema.org/> PREFIX g: <http://www.opengis.net/ont/geosparql#> SELECT DISTINCT ?x WHERE { ?x a s:Museum ; s:name "a"@en, "b" . ?x g:sfWithin <http://e/1>. FILTER(g:sfWithin(?x, "POLYGON((0 0,1 0,1 1,0 0))"^^g:wktLiteral)) } ORDER BY ?x LIMIT 3')
-    assert len(q.plain) == 3 and q.spatial[0].relation == "within" and q.windows == [("?x", "POLYGON((0 0,1 0,1 1,0 0))")] and q.limit == 3 and q.distinct
+    assert len(q.plain) == 3 and q.spatial[0].relation == "within" and q.windows == [("?x", "POLYGON((0 0,1 0,1 1,0 0))", "within")] and q.limit == 3 and q.distinct
     assert len(sparql.parse_file("SELECT ?a WHERE { ?a <http://p> ?b }\n-----\n \n-----")) == 1
     for bad in ("SELECT ?a WHERE { OPTIONAL { ?a <p> ?b } }", "ASK { ?a <p> ?b }", "SELECT ?a WHERE { ?a ?p ?b }"):
         with pytest.raises(sparql.Unsupported):
@@ -63,11 +66,87 @@ def test_parser():
         sparql.parse("SELECT ?z WHERE { ?a <http://p> ?b }")
 
 
+def test_parser_of_groups():
+    q = sparql.parse("SELECT * WHERE { ?a <http://p> ?b . { ?a <http://q> ?c } UNION { ?a <http://r> ?c . OPTIONAL { ?c <http://s> ?d } } OPTIONAL { ?b <http://t> ?e } } LIMIT 3 OFFSET 2")
+    assert q.select == ["?a", "?b", "?c", "?d", "?e"] and len(q.unions[0]) == 2 and len(q.unions[0][1].optionals) == 1 and (q.limit, q.offset) == (3, 2)
+    # ?c may be unbound before the second part joins on it.
+    for bad in ("{ ?a <p:> ?b OPTIONAL { ?a <q:> ?c } OPTIONAL { ?c <r:> ?d } }", "{ ?a <p:> ?b { ?a <q:> ?c } UNION { ?a <r:> ?d } { ?c <s:> ?e } }"):
+        with pytest.raises(sparql.Unsupported):
+            sparql.parse("SELECT * WHERE " + bad)
+
+
+def test_nearest(spark):
+    from meridian.operators import spatial
+
+    rng = random.Random(2)
+    sites = [(f"s{i}", rng.uniform(0, 1), rng.uniform(0, 1)) for i in range(300)] + [("far", 900.0, 900.0), ("none", None, 1.0)]
+    points = [(f"p{i}", rng.uniform(-1, 2), rng.uniform(-1, 2)) for i in range(60)] + [("q", 5000.0, 880.0), ("null", None, 3.0), ("nan", float("nan"), 3.0)]
+    got = {r["subject"]: (r["id"], r["distance"]) for r in spatial.nearest(spark.createDataFrame(points, "subject string, x double, y double"), spark.createDataFrame(sites, "id string, x double, y double")).collect()}
+    want = {}
+    for k, x, y in points[:-2]:
+        d, site = min((((x - a) ** 2 + (y - b) ** 2) ** 0.5, s) for s, a, b in sites[:-1])
+        want[k] = (site, d)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+    empty = spark.createDataFrame([], "id string, x double, y double")
+    assert spatial.nearest(spark.createDataFrame(points, "subject string, x double, y double"), empty).count() == 0
+
+
+def test_centroid_of_a_long_ring_and_a_hole(spark):
+    n = 100_000
+    circle = [(5 + 2 * math.cos(2 * math.pi * i / n), 7 + 2 * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    rows = [("circle", [[*circle, circle[0]]]), ("holed", [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)], [(2.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 4.0), (2.0, 0.0)]]), ("point", [[(1.0, 1.0)]])]
+    got = {r["id"]: (r["x"], r["y"]) for r in geometry.centroid(spark.createDataFrame(rows, f"id string, rings {geometry.RINGS}"), "id").collect()}
+    assert got["circle"] == pytest.approx((5, 7), abs=1e-6) and got["holed"] == pytest.approx((1, 2)) and got["point"] == (None, None)
+
+
+def test_polygons_that_are_no_boxes(spark):
+    """Stars with holes against points, one crowded cell among empty ones: by rays in plain Python."""
+    from meridian.operators import spatial
+
+    rng = random.Random(8)
+
+    def star(cx, cy, r, n=9):
+        ring = [(cx + (r if i % 2 else r / 2) * math.cos(math.pi * i / n), cy + (r if i % 2 else r / 2) * math.sin(math.pi * i / n)) for i in range(2 * n)]
+        return [*ring, ring[0]]
+
+    areas = [(f"a{i}", [star(x := rng.uniform(0, 3), y := rng.uniform(0, 3), 1.0), star(x, y, 0.3)]) for i in range(12)] + [("huge", [star(500, 500, 700)])]
+    points = [(f"p{i}", rng.uniform(0, 3), rng.uniform(0, 3)) for i in range(400)]
+
+    def inside(rings, x, y):
+        hits = 0
+        for ring in rings:
+            for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+                hits += (ay > y) != (by > y) and x < ax + (y - ay) / (by - ay) * (bx - ax)
+        return hits % 2 == 1
+
+    table = geometry.with_envelope(spark.createDataFrame(areas, f"id string, rings {geometry.RINGS}"))
+    found = spatial.points_in_polygons(spark.createDataFrame(points, "subject string, x double, y double"), table)
+    assert {(r["l_subject"], r["r_id"]) for r in found.collect()} == {(p, a) for p, x, y in points for a, rings in areas if inside(rings, x, y)}
+
+
+def test_reasoner_skips_only_what_contains_nothing(spark):
+    net = reasoner.symmetrise(spark.createDataFrame([(0, 8, 1), (1, 24, 2), (3, 8, 1), (4, 64, 1), (5, 16, 2), (6, 128, 0)], "lhs long, rel int, rhs long"), C)
+    every = net.select("lhs").distinct()
+    kept = {r["lhs"] for r in reasoner.may_contain(net, every).collect()}
+    found = {r["lhs"] for r in reasoner.closure(net, every, C).where("rel in (2, 4, 6)").collect()}
+    assert found <= kept and 0 not in kept and 3 not in kept
+
+
+def test_store_refuses_to_overwrite(spark, small, tmp_path):
+    from meridian.plans.fixture import Fixture
+    from meridian.plans.store import Store
+
+    f = Fixture(spark, small)
+    Store.write(spark, f.triples, f.network, f.geometries, f"file://{tmp_path}/g")
+    with pytest.raises(Exception, match="(?i)exist"):
+        Store.write(spark, f.triples, f.network, f.geometries, f"file://{tmp_path}/g")
+
+
 def test_jaro_winkler():
     assert similarity.jaro_winkler("MARTHA", "MARHTA") == pytest.approx(0.9611, abs=1e-4) and similarity.jaro_winkler("", "") == 1 and similarity.jaro_winkler("abc", "") == 0
 
 
-FAST = ["proj_rename", "bgp_star", "bgp_cycle", "fn_jaro_winkler", "link_layer0", "link_layer1", "pip_polygon", "quan_containment_all", "quan_adjacency_all", "hybrid_range", "rcc8_compose_step", "rcc8_refine_step", "geo_join_touches", "rcc8_network", "src_geojson", "sink_vp_partitioned"]
+FAST = ["proj_rename", "bgp_star", "bgp_cycle", "fn_jaro_winkler", "link_layer0", "link_layer1", "pip_polygon", "quan_containment_all", "quan_adjacency_all", "hybrid_range", "rcc8_compose_step", "rcc8_refine_step", "geo_join_touches", "rcc8_network", "src_geojson", "sink_vp_partitioned", "sparql_optional", "sparql_union", "sparql_nested", "sparql_offset", "query_file", "pip_two_layers"]
 
 
 @pytest.mark.parametrize("name", FAST)

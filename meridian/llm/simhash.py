@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, grouped, in_blocks, kept_table, roots_of, shared_folder, spanning
 
-BLOCK = 64
+BLOCK, WIDE_BLOCK = 64, 1024
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -277,7 +277,7 @@ def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, longs: int
     divided = some.select("node", "fp", F.floor(size).alias("own"), (F.floor(size) + F.when(size - F.floor(size) < 0.5, -1).otherwise(1)).alias("next"))
     cells = divided.select("node", F.explode(F.array(*cells)).alias("cell")).select("cell.*", "node")
     met = cut(grouped(cells, ["k"], _balls(half), "code long, node long, kind int").distinct())
-    pairs = in_blocks(met, ["code"], F.xxhash64("node"), BLOCK).join(some.select("node", "fp"), "node")
+    pairs = in_blocks(met, ["code"], F.xxhash64("node"), WIDE_BLOCK).join(some.select("node", "fp"), "node")
     cosine = 2 * least / (1 + least)
     most = int(64 * longs * (math.acos(cosine) / math.pi + margin))
     links = cut(grouped(pairs.select("code", "pair", "kind", "node", "fp"), ["code", "pair"], _nearest(most), "a long, b long").distinct())

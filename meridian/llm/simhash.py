@@ -184,25 +184,45 @@ def _balls(half: int):
     return run
 
 
-def _nearest(most: int):
-    """Of whole groups of wide fingerprints: the spanning forest, closest pairs first, of those at ``most`` or fewer differing bits."""
+def _nearest(most: int, forests: int = 1):
+    """Of whole groups of wide fingerprints: spanning forests, closest pairs first, of those at ``most`` or fewer differing bits.
+
+    Nodes of one ``root`` are in one group already and count as one; pairs of a node with those in its ``refused`` are left out. Each of the
+    ``forests`` is of the pairs that the ones before have left.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, at = np.unique(pdf["node"].to_numpy(), return_inverse=True)
+        node, one, at = np.unique(pdf["node"].to_numpy(), return_index=True, return_inverse=True)
+        _, root = np.unique(pdf["root"].to_numpy()[one], return_inverse=True)
+        refused = pdf["refused"].iloc[one].to_list()
+        owner, other = np.repeat(np.arange(len(node)), [len(x) for x in refused]), np.concatenate([np.asarray(x, np.int64) for x in refused])
+        place = np.minimum(np.searchsorted(node, other), len(node) - 1)
+        there = node[place] == other
+        out = owner[there] * len(node) + place[there]
         fp, table = np.stack(pdf["fp"].to_list()).astype(np.int64).view(np.uint64), pdf["kind"].to_numpy() == 0
         g = pdf.groupby(["code", "pair"], sort=False).ngroup().to_numpy()
         a, b, d = [], [], []
         start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
         for step in range(1, int(np.diff(np.r_[start, len(g)]).max())):
             i = np.flatnonzero(g[step:] == g[:-step])
-            i = i[(table[i] | table[i + step]) & (at[i] != at[i + step])]
+            i = i[(table[i] | table[i + step]) & (root[at[i]] != root[at[i + step]])]
             bits = np.bitwise_count(fp[i] ^ fp[i + step]).sum(1, dtype=np.int64)
             i, bits = i[bits <= most], bits[bits <= most]
             a.append(at[i])
             b.append(at[i + step])
             d.append(bits)
         a, b, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, d))
-        kept = forest(len(node), a, b, d)
+        pair, first = np.unique(np.minimum(a, b) * len(node) + np.maximum(a, b), return_index=True)
+        first = first[~np.isin(pair, out)]
+        a, b, d = a[first], b[first], d[first]
+        kept, left = [], np.arange(len(a))
+        for _ in range(forests):
+            some = forest(len(root), root[a[left]], root[b[left]], d[left])
+            kept.append(left[some])
+            left = np.delete(left, some)
+            if not len(left):
+                break
+        kept = np.concatenate(kept)
         return pd.DataFrame({"a": node[np.minimum(a[kept], b[kept])], "b": node[np.maximum(a[kept], b[kept])]})
 
     return run
@@ -216,7 +236,7 @@ def _alike(least: float):
                 x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both >= least * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
     return run
 
@@ -231,9 +251,11 @@ def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, longs: int
        looked up where its table is: a segment goes out twice, by its upper and its lower half, and the other half's bits are
        changed there. Sets can only be similar if their sizes are, so a table is divided by the size's logarithm: a
        fingerprint lies in its own division and the nearer neighbour and looks up its own.
-    3. Of what a lookup fetches the complete distance is taken. Pairs within the distance that ``least`` is expected at, and ``margin`` of
-       all bits more, make up a spanning forest, closest pairs first, so groups of near copies send as many links as documents.
-    4. The forest's pairs are checked exactly, on their sets (of 32-bit halves of the hashes). Components of what is left are the groups.
+    3. Of what a lookup fetches the complete distance is taken. Candidates are pairs within the distance that ``least`` is expected at, and
+       ``margin`` of all bits more. They make up a spanning forest, closest pairs first, so groups of near copies send as many links as documents.
+    4. The forest's pairs are checked exactly, on their sets (of 32-bit halves of the hashes). Where one is refused, another candidate may
+       still join its ends' groups: forests follow, four times as many each time, of the candidates between what is apart, but for those
+       refused, until there are none. So the groups are the components of all candidates that pass, at any numbering and dealing of rows.
 
     At a similarity of just 0.8 one pair in about seven meets in no segment, at 0.85 one in 25, at 0.9 one in 300. The first document is
     the one with the smallest id, then digest; null ids come last. Null, empty and blank texts are one class. Repeated rows
@@ -277,15 +299,39 @@ def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, longs: int
     divided = some.select("node", "fp", F.floor(size).alias("own"), (F.floor(size) + F.when(size - F.floor(size) < 0.5, -1).otherwise(1)).alias("next"))
     cells = divided.select("node", F.explode(F.array(*cells)).alias("cell")).select("cell.*", "node")
     met = cut(grouped(cells, ["k"], _balls(half), "code long, node long, kind int").distinct())
-    pairs = in_blocks(met, ["code"], F.xxhash64("node"), WIDE_BLOCK).join(some.select("node", "fp"), "node")
     cosine = 2 * least / (1 + least)
     most = int(64 * longs * (math.acos(cosine) / math.pi + margin))
-    links = cut(grouped(pairs.select("code", "pair", "kind", "node", "fp"), ["code", "pair"], _nearest(most), "a long, b long").distinct())
 
+    def untried(met: DataFrame, state: DataFrame, forests: int) -> DataFrame:
+        pairs = in_blocks(met, ["code"], F.xxhash64("node"), WIDE_BLOCK).join(state, "node")
+        pairs = pairs.select("code", "pair", "kind", "node", "fp", "root", "refused")
+        return cut(grouped(pairs, ["code", "pair"], _nearest(most, forests), "a long, b long").distinct())
+
+    def tried(links: DataFrame) -> DataFrame:
+        sided = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        return cut(sided.select("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long, ok boolean"))
+
+    links = untried(met, some.select("node", "fp", F.col("node").alias("root"), F.array().cast("array<long>").alias("refused")), 1)
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "kind"), "node")
     sets = kept_table(rows.select("kind", "shingles").join(ends, "kind").dropDuplicates(["node"]).select("node", "shingles"), f"{folder}/sets")
-    sided = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    groups = components(sided.select("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long"))
+    done, forests = tried(links), 1
+    groups = components(done.where("ok"))
+    if done.where("not ok").limit(1).count():
+        # Candidates of a component without a refused pair are all within one group; only the other components go on.
+        whole = components(done)
+        doubtful = whole.join(done.where("not ok").select(F.col("a").alias("node")).distinct(), "node").select("component").distinct()
+        going = cut(whole.join(doubtful, "component", "left_semi").select("node"))
+        met = cut(met.join(going, "node", "left_semi"))
+        own = some.join(going, "node", "left_semi").select("node", "fp")
+        while True:
+            refused = done.where("not ok").groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("refused"))
+            state = own.join(groups, "node", "left").join(refused, "node", "left")
+            state = cut(state.select("node", "fp", F.coalesce("component", "node").alias("root"), F.coalesce("refused", F.array().cast("array<long>")).alias("refused")))
+            links, forests = untried(met, state, forests), forests * 4
+            if not links.limit(1).count():
+                break
+            done = cut(done.unionByName(tried(links)))
+            groups = components(done.where("ok"))
     known = classes.select("node", "kind", "top").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
     best = cut(known.groupBy("group").agg(F.min("top").alias("first")))
     known = cut(known.join(best, "group").select("kind", "first"))

@@ -1,6 +1,8 @@
 """Each stage against a plain version on the same input."""
 
+import math
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import corpus_pipeline as cp
 import numpy as np
@@ -150,3 +152,27 @@ def test_wide_fingerprints_and_forests():
     assert [int(x) for x in simhash.wide_fingerprint(many, 8)] == [sum(1 << b for b in range(64) if 2 * plain[k][b] > len(many)) for k in range(8)]
     a, b, cost = np.array([0, 1, 0, 2, 3]), np.array([1, 2, 2, 3, 0]), np.array([5, 1, 2, 9, 9])
     assert sorted(simhash.forest(5, a, b, cost).tolist()) in ([1, 2, 3], [1, 2, 4])
+
+
+def test_groups_are_the_components_of_all_candidates_that_pass(spark):
+    # Families of 25 texts with 0 to 4 of 150 words changed: many similarities lie near 0.8, so forests by estimated distance hold pairs that are refused.
+    rng = np.random.default_rng(5)
+    texts = []
+    for f in range(5):
+        for _ in range(25):
+            w = [f"w{f}_{i}" for i in range(150)]
+            for k in rng.integers(0, 150, rng.integers(0, 5)):
+                w[k] = f"x{rng.integers(10**9)}"
+            texts.append(" ".join(w))
+    sets, fps = [shingles(t) for t in texts], [simhash.wide_fingerprint(simhash.shingle_hashes(t, 5)) for t in texts]
+    most = int(448 * (math.acos(1.6 / 1.8) / math.pi + 0.05))
+    top = list(range(len(texts)))
+    for i, j in combinations(range(len(texts)), 2):
+        bits = int.from_bytes((fps[i] ^ fps[j]).tobytes(), "little")
+        meet = bits.bit_count() <= most and any((bits >> 24 * s & 0xFFFFFF).bit_count() <= 1 for s in range(18))
+        if meet and jaccard(sets[i], sets[j]) >= 0.8 and top[i] != top[j]:
+            low, high = sorted((top[i], top[j]))
+            top = [low if x == high else x for x in top]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for parts in (2, 5):
+        assert [r["first_id"] for r in sorted(simhash.near_copies(d.repartition(parts)).collect())] == top

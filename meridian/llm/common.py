@@ -122,10 +122,10 @@ def in_blocks(rows: DataFrame, keys: list[str], spread: Column, block: int) -> D
 
     Any two rows of a group meet in at least one pair, so no comparison is lost; a group never holds more than about
     2 * block rows. The sizes are counted with partial aggregation and then cut, so both sides of the join are
-    exchanged plainly and a hot key's side can be split at run time.
+    exchanged plainly and a hot key's side can be split at run time; sizes are never broadcast by way of the driver.
     """
     sizes = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    j = rows.join(sizes, keys).withColumn("nb", F.ceil(F.col("n") / block).cast("int"))
+    j = rows.join(sizes.hint("merge"), keys).withColumn("nb", F.ceil(F.col("n") / block).cast("int"))
     j = j.withColumn("b", F.pmod(spread, F.col("nb")).cast("int"))
     j = j.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)")))
     j = j.withColumn("pair", F.least("b", "o") * F.col("nb") + F.greatest("b", "o"))
@@ -163,21 +163,21 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every end of ``edges(a, b)``; component: the smallest node reachable.
 
     Minima travel along links, then each label jumps to its own label, so long chains halve every round. State and links
-    are checkpointed every round, nothing goes to the driver but the number of changes. Hot labels appear only in
+    are checkpointed every round, nothing goes to the driver but whether a label changed: joins are by merging, as a broadcast
+    takes driver memory until its garbage is collected, and each exchange holds a driver thread for a minute. Hot labels appear only in
     a join of two plain exchanges, which adaptive execution splits.
     """
     e = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     both = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     state = cut(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")))
     while True:
-        near = both.join(state, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "component")
-        low = cut(near.unionByName(state).groupBy("node").agg(F.min("component").alias("component")))
+        near = both.join(state.hint("merge"), F.col("b") == F.col("node")).select(F.col("a").alias("node"), "component", F.lit(None).cast("long").alias("was"))
+        own = state.select("node", "component", F.col("component").alias("was"))
+        low = cut(near.unionByName(own).groupBy("node").agg(F.min("component").alias("component"), F.min("was").alias("was")))
         up = low.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        old = state.select("node", F.col("component").alias("was"))
-        new = cut(low.join(up, "component").select("node", F.col("top").alias("component")))
-        changed = new.join(old, "node").where("component <> was").limit(1).count()
-        state = new
-        if not changed:
+        new = cut(low.join(up.hint("merge"), "component").select("node", F.col("top").alias("component"), "was"))
+        state = new.select("node", "component")
+        if new.where("component <> was").isEmpty():
             return state
 
 

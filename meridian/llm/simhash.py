@@ -184,11 +184,11 @@ def _balls(half: int):
     return run
 
 
-def _nearest(most: int, forests: int = 1):
+def _nearest(most: int, forests: int | None = 1):
     """Of whole groups of wide fingerprints: spanning forests, closest pairs first, of those at ``most`` or fewer differing bits.
 
     Nodes of one ``root`` are in one group already and count as one; pairs of a node with those in its ``refused`` are left out. Each of the
-    ``forests`` is of the pairs that the ones before have left.
+    ``forests`` is of the pairs that the ones before have left; None: all pairs. ``more``: the last has left some.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -216,14 +216,16 @@ def _nearest(most: int, forests: int = 1):
         first = first[~np.isin(pair, out)]
         a, b, d = a[first], b[first], d[first]
         kept, left = [], np.arange(len(a))
-        for _ in range(forests):
+        if forests is None:
+            kept, left = [left], left[:0]
+        for _ in range(forests or 0):
             some = forest(len(root), root[a[left]], root[b[left]], d[left])
             kept.append(left[some])
             left = np.delete(left, some)
             if not len(left):
                 break
         kept = np.concatenate(kept)
-        return pd.DataFrame({"a": node[np.minimum(a[kept], b[kept])], "b": node[np.maximum(a[kept], b[kept])]})
+        return pd.DataFrame({"a": node[np.minimum(a[kept], b[kept])], "b": node[np.maximum(a[kept], b[kept])], "more": len(left) > 0})
 
     return run
 
@@ -254,8 +256,8 @@ def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, longs: int
     3. Of what a lookup fetches the complete distance is taken. Candidates are pairs within the distance that ``least`` is expected at, and
        ``margin`` of all bits more. They make up a spanning forest, closest pairs first, so groups of near copies send as many links as documents.
     4. The forest's pairs are checked exactly, on their sets (of 32-bit halves of the hashes). Where one is refused, another candidate may
-       still join its ends' groups: forests follow, four times as many each time, of the candidates between what is apart, but for those
-       refused, until there are none. So the groups are the components of all candidates that pass, at any numbering and dealing of rows.
+       still join its ends' groups: sixteen forests follow, then all that is left, of the candidates between what is apart, but for those
+       refused. So the groups are the components of all candidates that pass, at any numbering and dealing of rows.
 
     At a similarity of just 0.8 one pair in about seven meets in no segment, at 0.85 one in 25, at 0.9 one in 300. The first document is
     the one with the smallest id, then digest; null ids come last. Null, empty and blank texts are one class. Repeated rows
@@ -302,39 +304,42 @@ def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, longs: int
     cosine = 2 * least / (1 + least)
     most = int(64 * longs * (math.acos(cosine) / math.pi + margin))
 
-    def untried(met: DataFrame, state: DataFrame, forests: int) -> DataFrame:
-        pairs = in_blocks(met, ["code"], F.xxhash64("node"), WIDE_BLOCK).join(state, "node")
-        pairs = pairs.select("code", "pair", "kind", "node", "fp", "root", "refused")
-        return cut(grouped(pairs, ["code", "pair"], _nearest(most, forests), "a long, b long").distinct())
+    def untried(pairs: DataFrame, state: DataFrame, forests: int | None) -> DataFrame:
+        pairs = pairs.join(state.hint("merge"), "node").select("code", "pair", "kind", "node", "fp", "root", "refused")
+        return cut(grouped(pairs, ["code", "pair"], _nearest(most, forests), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")))
 
     def tried(links: DataFrame) -> DataFrame:
-        sided = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        sided = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
+        sided = sided.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
         return cut(sided.select("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long, ok boolean"))
 
-    links = untried(met, some.select("node", "fp", F.col("node").alias("root"), F.array().cast("array<long>").alias("refused")), 1)
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "kind"), "node")
-    sets = kept_table(rows.select("kind", "shingles").join(ends, "kind").dropDuplicates(["node"]).select("node", "shingles"), f"{folder}/sets")
+    none = F.array().cast("array<long>")
+    pairs = cut(in_blocks(met, ["code"], F.xxhash64("node"), WIDE_BLOCK).select("code", "pair", "kind", "node"))
+    links = untried(pairs, some.select("node", "fp", F.col("node").alias("root"), none.alias("refused")), 1)
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "kind").hint("merge"), "node")
+    sets = kept_table(rows.select("kind", "shingles").join(ends.hint("merge"), "kind").dropDuplicates(["node"]).select("node", "shingles"), f"{folder}/sets")
     done, forests = tried(links), 1
     groups = components(done.where("ok"))
-    if done.where("not ok").limit(1).count():
-        # Candidates of a component without a refused pair are all within one group; only the other components go on.
-        whole = components(done)
-        doubtful = whole.join(done.where("not ok").select(F.col("a").alias("node")).distinct(), "node").select("component").distinct()
-        going = cut(whole.join(doubtful, "component", "left_semi").select("node"))
-        met = cut(met.join(going, "node", "left_semi"))
-        own = some.join(going, "node", "left_semi").select("node", "fp")
-        while True:
-            refused = done.where("not ok").groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("refused"))
-            state = own.join(groups, "node", "left").join(refused, "node", "left")
-            state = cut(state.select("node", "fp", F.coalesce("component", "node").alias("root"), F.coalesce("refused", F.array().cast("array<long>")).alias("refused")))
-            links, forests = untried(met, state, forests), forests * 4
-            if not links.limit(1).count():
-                break
-            done = cut(done.unionByName(tried(links)))
-            groups = components(done.where("ok"))
-    known = classes.select("node", "kind", "top").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    while not links.where("more").isEmpty():
+        roots = groups.select(F.col("node").alias("end"), "component")
+        refused = done.where("not ok").join(roots.select(F.col("end").alias("a"), F.col("component").alias("top")).hint("merge"), "a", "left")
+        refused = refused.join(roots.select(F.col("end").alias("b"), F.col("component").alias("other")).hint("merge"), "b", "left")
+        refused = cut(refused.select("a", "b", F.coalesce("top", "a").alias("top"), F.coalesce("other", "b").alias("other")).where("top <> other"))
+        # All candidates of a group without a refused link to another are within it; the others go on.
+        doubtful = refused.select(F.explode(F.array("top", "other")).alias("root")).distinct()
+        state = some.select("node", "fp").join(groups.hint("merge"), "node", "left").select("node", "fp", F.coalesce("component", "node").alias("root"))
+        state = state.join(doubtful.hint("merge"), "root", "left_semi")
+        without = refused.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("refused"))
+        state = cut(state.join(without.hint("merge"), "node", "left").select("node", "fp", "root", F.coalesce("refused", none).alias("refused")))
+        if forests == 1:
+            pairs = cut(pairs.join(state.select("node").hint("merge"), "node", "left_semi"))
+        forests = 16 if forests == 1 else None
+        links = untried(pairs, state, forests)
+        done = cut(done.unionByName(tried(links)))
+        groups = components(done.where("ok"))
+    known = classes.select("node", "kind", "top").join(groups.hint("merge"), "node", "left").withColumn("group", F.coalesce("component", "node"))
     best = cut(known.groupBy("group").agg(F.min("top").alias("first")))
-    known = cut(known.join(best, "group").select("kind", "first"))
+    known = cut(known.join(best.hint("merge"), "group").select("kind", "first"))
     return rows.select("doc_id", "digest", "kind").distinct().join(known, "kind").select("doc_id", "digest", F.col("first.doc_id").alias("first_id"), F.col("first.digest").alias("first_digest"))
 
 

@@ -176,3 +176,21 @@ def test_groups_are_the_components_of_all_candidates_that_pass(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for parts in (2, 5):
         assert [r["first_id"] for r in sorted(simhash.near_copies(d.repartition(parts)).collect())] == top
+
+
+def test_near_copies_spare_the_driver(spark):
+    # Every job and broadcast holds driver memory for a while, so refused pairs must not cost many rounds of them.
+    rng, texts = np.random.default_rng(6), []
+    for f in range(3):
+        for _ in range(20):
+            w = [f"w{f}_{i}" for i in range(150)]
+            for k in rng.integers(0, 150, rng.integers(0, 5)):
+                w[k] = f"x{rng.integers(10**9)}"
+            texts.append(" ".join(w))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spark.sparkContext.setJobGroup("near", "near copies")
+    try:
+        simhash.near_copies(d).collect()
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+    assert 20 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("near")) < 200

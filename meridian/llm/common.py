@@ -164,21 +164,27 @@ def components(edges: DataFrame) -> DataFrame:
 
     Minima travel along links, then each label jumps to its own label, so long chains halve every round. State and links
     are checkpointed every round, nothing goes to the driver but whether a label changed: joins are by merging, as a broadcast
-    takes driver memory until its garbage is collected, and each exchange holds a driver thread for a minute. Hot labels appear only in
-    a join of two plain exchanges, which adaptive execution splits.
+    takes driver memory until its garbage is collected, and each exchange holds a driver thread for a minute. After a round each link goes to
+    the other end's label in place of that end, which a link to its label stands for: links that become equal are one, so a dense group
+    has many links in the first round alone. Hot labels appear only in a join of two plain exchanges, which adaptive execution splits.
     """
-    e = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+
+    def both_ways(links: DataFrame) -> DataFrame:
+        links = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+
+    both = both_ways(edges)
     state = cut(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")))
     while True:
         near = both.join(state.hint("merge"), F.col("b") == F.col("node")).select(F.col("a").alias("node"), "component", F.lit(None).cast("long").alias("was"))
-        own = state.select("node", "component", F.col("component").alias("was"))
-        low = cut(near.unionByName(own).groupBy("node").agg(F.min("component").alias("component"), F.min("was").alias("was")))
+        near = cut(near.unionByName(state.select("node", "component", F.col("component").alias("was"))).distinct())
+        low = near.groupBy("node").agg(F.min("component").alias("component"), F.min("was").alias("was"))
         up = low.select(F.col("node").alias("component"), F.col("component").alias("top"))
         new = cut(low.join(up.hint("merge"), "component").select("node", F.col("top").alias("component"), "was"))
         state = new.select("node", "component")
         if new.where("component <> was").isEmpty():
             return state
+        both = both_ways(near.select(F.col("node").alias("a"), F.col("component").alias("b")))
 
 
 def grouped(rows: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

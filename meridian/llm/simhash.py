@@ -163,8 +163,9 @@ def _balls(half: int):
         side, division, same = (k >> 40) & 1, (k & (1 << 40) - 1) >> half, k & (1 << half) - 1
         group = np.cumsum(np.r_[0, k[1:] != k[:-1]]).astype(np.int64)
         code, one, at, n = np.unique((group << half) + rest, return_index=True, return_inverse=True, return_counts=True)
-        # Equal segments meet on one side only, and where one of them is at home.
-        active = (n > 1) & (side[one] == 0) & (np.bincount(at, mine, len(code)) > 0)
+        # Equal segments meet on one side only, and where one of them is at home; that side names the entries for both.
+        equal = (n > 1) & (np.bincount(at, mine, len(code)) > 0)
+        active = equal & (side[one] == 0)
         to, who = [], []
         for bit in range(half):
             i = np.flatnonzero(mine & (rest >> bit & 1 == 0))  # of two that differ in a bit one has a 0 there
@@ -175,6 +176,7 @@ def _balls(half: int):
             who.append(node[i[hit]])
         to, who = np.concatenate(to), np.concatenate(who)
         active[to] = True
+        active &= ~(equal & (side[one] == 1))
         there = np.flatnonzero(active[at])
         whole = np.where(side == 0, (same << half) + rest, (rest << half) + same)
         names = ((((k >> 41) << 16) + division) << 2 * half) + whole
@@ -184,48 +186,80 @@ def _balls(half: int):
     return run
 
 
-def _nearest(most: int, forests: int | None = 1):
+def first_segment(x: np.ndarray, segment: int) -> np.ndarray:
+    """The number of the first segment that holds one bit or none of ``x``, the differing bits of pairs of wide fingerprints."""
+    count = 64 * x.shape[1] // segment
+    first = np.full(len(x), count)
+    for s in reversed(range(count)):
+        at, off = divmod(s * segment, 64)
+        c = x[:, at] >> np.uint64(off)
+        if off + segment > 64:
+            c = c | x[:, at + 1] << np.uint64(64 - off)
+        first[np.bitwise_count(c & np.uint64((1 << segment) - 1)) <= 1] = s
+    return first
+
+
+def _nearest(most: int, segment: int, forests: int | None = 1, reach: int | None = None):
     """Of whole groups of wide fingerprints: spanning forests, closest pairs first, of those at ``most`` or fewer differing bits.
 
-    Nodes of one ``root`` are in one group already and count as one; pairs of a node with those in its ``refused`` are left out. Each of the
-    ``forests`` is of the pairs that the ones before have left; None: all pairs. ``more``: the last has left some.
+    Nodes of one ``root`` are in one group already and count as one; pairs of a node with those in its ``refused`` are left out, and so are
+    pairs that an earlier segment has. Each of the ``forests`` is of the pairs that the ones before have left, at ``reach`` or fewer bits; None:
+    all pairs. Bit 0 of ``kind`` marks lookups, which meet entries alone, bit 1 a group of two blocks, and the rest is the block. Pairs within one of two
+    blocks are the business of the block's own group, so here they only spare links. Rows with a code have no link but
+    a group's ``nodes`` and ``kinds`` that are in pairs yet untried.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, one, at = np.unique(pdf["node"].to_numpy(), return_index=True, return_inverse=True)
+        of, kind, code = (pdf[c].to_numpy() for c in ("node", "kind", "code"))
+        node, one, at = np.unique(of, return_index=True, return_inverse=True)
         _, root = np.unique(pdf["root"].to_numpy()[one], return_inverse=True)
         refused = pdf["refused"].iloc[one].to_list()
         owner, other = np.repeat(np.arange(len(node)), [len(x) for x in refused]), np.concatenate([np.asarray(x, np.int64) for x in refused])
         place = np.minimum(np.searchsorted(node, other), len(node) - 1)
         there = node[place] == other
         out = owner[there] * len(node) + place[there]
-        fp, table = np.stack(pdf["fp"].to_list()).astype(np.int64).view(np.uint64), pdf["kind"].to_numpy() == 0
-        g = pdf.groupby(["code", "pair"], sort=False).ngroup().to_numpy()
+        fp, table, crossed = np.stack(pdf["fp"].to_list()).astype(np.int64).view(np.uint64), kind & 1 == 0, kind & 2 > 0
+        g, part = pdf.groupby(["code", "pair"], sort=False).ngroup().to_numpy(), code >> (segment + 16)
         a, b, d = [], [], []
         start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
         for step in range(1, int(np.diff(np.r_[start, len(g)]).max())):
             i = np.flatnonzero(g[step:] == g[:-step])
             i = i[(table[i] | table[i + step]) & (root[at[i]] != root[at[i + step]])]
-            bits = np.bitwise_count(fp[i] ^ fp[i + step]).sum(1, dtype=np.int64)
-            i, bits = i[bits <= most], bits[bits <= most]
-            a.append(at[i])
-            b.append(at[i + step])
-            d.append(bits)
+            x = fp[i] ^ fp[i + step]
+            bits = np.bitwise_count(x).sum(1, dtype=np.int64)
+            near = np.flatnonzero(bits <= most)
+            near = near[first_segment(x[near], segment) == part[i[near]]]
+            a.append(i[near])
+            b.append(i[near] + step)
+            d.append(bits[near])
         a, b, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, d))
-        pair, first = np.unique(np.minimum(a, b) * len(node) + np.maximum(a, b), return_index=True)
+        inner = crossed[a] & (kind[a] >> 2 == kind[b] >> 2)
+        order = np.argsort(inner, kind="stable")  # where a block's own group is here too, the pair is tried there
+        a, b, d, inner = a[order], b[order], d[order], inner[order]
+        pair, first = np.unique(np.minimum(at[a], at[b]) * len(node) + np.maximum(at[a], at[b]), return_index=True)
         first = first[~np.isin(pair, out)]
-        a, b, d = a[first], b[first], d[first]
-        kept, left = [], np.arange(len(a))
+        a, b, d, inner = a[first], b[first], d[first], inner[first]
+        x, y, cost, far = at[a], at[b], np.where(inner, d - 64 * fp.shape[1], d), most if reach is None else reach
+        kept, left = [], np.flatnonzero(~inner)
         if forests is None:
             kept, left = [left], left[:0]
         for _ in range(forests or 0):
-            some = forest(len(root), root[a[left]], root[b[left]], d[left])
-            kept.append(left[some])
-            left = np.delete(left, some)
-            if not len(left):
+            some = np.flatnonzero(inner & (d <= far))
+            some = np.r_[some, left[d[left] <= far]]
+            some = some[forest(len(root), root[x[some]], root[y[some]], cost[some])]
+            some = some[~inner[some]]
+            kept.append(some)
+            left = np.setdiff1d(left, some)
+            if not len(left) or not len(some):
                 break
-        kept = np.concatenate(kept)
-        return pd.DataFrame({"a": node[np.minimum(a[kept], b[kept])], "b": node[np.maximum(a[kept], b[kept])], "more": len(left) > 0})
+        kept, row = np.concatenate(kept), np.unique(np.r_[a[left], b[left]])
+        found = pd.DataFrame({"a": node[np.minimum(x[kept], y[kept])], "b": node[np.maximum(x[kept], y[kept])], "code": -1, "pair": 0})
+        found = found.assign(**{c: pd.Series([[]] * len(kept), dtype=object) for c in ("nodes", "kinds")})
+        if not len(row):
+            return found
+        begin = np.flatnonzero(np.r_[True, g[row][1:] != g[row][:-1]])
+        rest = pd.DataFrame({"a": -1, "b": -1, "code": code[row[begin]], "pair": pdf["pair"].to_numpy()[row[begin]], "nodes": pd.Series(np.split(of[row], begin[1:]), dtype=object), "kinds": pd.Series(np.split(kind[row], begin[1:]), dtype=object)})
+        return pd.concat([found, rest]) if len(found) else rest
 
     return run
 
@@ -304,9 +338,11 @@ def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, longs: int
     cosine = 2 * least / (1 + least)
     most = int(64 * longs * (math.acos(cosine) / math.pi + margin))
 
-    def untried(pairs: DataFrame, state: DataFrame, forests: int | None) -> DataFrame:
-        pairs = pairs.join(state.hint("merge"), "node").select("code", "pair", "kind", "node", "fp", "root", "refused")
-        return cut(grouped(pairs, ["code", "pair"], _nearest(most, forests), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")))
+    def untried(pairs: DataFrame, forests: int | None, reach: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """Links to be checked, and the pairs' rows that are in others yet."""
+        found = cut(grouped(pairs, ["code", "pair"], _nearest(most, segment, forests, reach), "a long, b long, code long, pair int, nodes array<long>, kinds array<int>"))
+        rest = found.where("code >= 0").select("code", "pair", F.explode(F.arrays_zip("nodes", "kinds")).alias("row"))
+        return found.where("code < 0").select("a", "b").distinct(), cut(rest.select("code", "pair", F.col("row.kinds").alias("kind"), F.col("row.nodes").alias("node")))
 
     def tried(links: DataFrame) -> DataFrame:
         sided = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
@@ -314,29 +350,27 @@ def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, longs: int
         return cut(sided.select("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long, ok boolean"))
 
     none = F.array().cast("array<long>")
-    pairs = cut(in_blocks(met, ["code"], F.xxhash64("node"), WIDE_BLOCK).select("code", "pair", "kind", "node"))
-    links = untried(pairs, some.select("node", "fp", F.col("node").alias("root"), none.alias("refused")), 1)
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "kind").hint("merge"), "node")
+    kind = F.col("kind") + F.when(F.col("own"), 0).otherwise(2) + F.col("b") * 4
+    pairs = in_blocks(met, ["code"], F.xxhash64("node"), WIDE_BLOCK).select("node", F.struct("code", "pair", kind.alias("kind")).alias("cell"))
+    # A node meets others in many places, so what is known of it joins its list of them.
+    places = pairs.groupBy("node").agg(F.collect_list("cell").alias("cells")).join(some.select("node", "fp").hint("merge"), "node")
+    pairs = places.select(F.explode("cells").alias("cell"), "node", "fp", F.col("node").alias("root"), none.alias("refused")).select("cell.*", "node", "fp", "root", "refused")
+    links, rest = untried(pairs, 1, int(64 * longs * math.acos(cosine) / math.pi))
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).unionByName(rest.select("node")).distinct()
+    ends = classes.select("node", "kind").join(ends.hint("merge"), "node", "left_semi")
     sets = kept_table(rows.select("kind", "shingles").join(ends.hint("merge"), "kind").dropDuplicates(["node"]).select("node", "shingles"), f"{folder}/sets")
-    done, forests = tried(links), 1
-    groups = components(done.where("ok"))
-    while not links.where("more").isEmpty():
-        roots = groups.select(F.col("node").alias("end"), "component")
-        refused = done.where("not ok").join(roots.select(F.col("end").alias("a"), F.col("component").alias("top")).hint("merge"), "a", "left")
-        refused = refused.join(roots.select(F.col("end").alias("b"), F.col("component").alias("other")).hint("merge"), "b", "left")
-        refused = cut(refused.select("a", "b", F.coalesce("top", "a").alias("top"), F.coalesce("other", "b").alias("other")).where("top <> other"))
-        # All candidates of a group without a refused link to another are within it; the others go on.
-        doubtful = refused.select(F.explode(F.array("top", "other")).alias("root")).distinct()
-        state = some.select("node", "fp").join(groups.hint("merge"), "node", "left").select("node", "fp", F.coalesce("component", "node").alias("root"))
-        state = state.join(doubtful.hint("merge"), "root", "left_semi")
+    done = tried(links)
+    groups, refused, forests = components(done.where("ok")), done.where("not ok"), 16
+    while not rest.isEmpty():
+        state = some.select("node", "fp").join(rest.select("node").distinct().hint("merge"), "node", "left_semi")
+        state = state.join(groups.hint("merge"), "node", "left").select("node", "fp", F.coalesce("component", "node").alias("root"))
         without = refused.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("refused"))
         state = cut(state.join(without.hint("merge"), "node", "left").select("node", "fp", "root", F.coalesce("refused", none).alias("refused")))
-        if forests == 1:
-            pairs = cut(pairs.join(state.select("node").hint("merge"), "node", "left_semi"))
-        forests = 16 if forests == 1 else None
-        links = untried(pairs, state, forests)
-        done = cut(done.unionByName(tried(links)))
-        groups = components(done.where("ok"))
+        links, rest = untried(rest.join(state.hint("merge"), "node").select("code", "pair", "kind", "node", "fp", "root", "refused"), forests)
+        done, forests = tried(links), None
+        refused = refused.unionByName(done.where("not ok"))
+        if not done.where("ok").isEmpty():
+            groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(done.where("ok").select("a", "b")))
     known = classes.select("node", "kind", "top").join(groups.hint("merge"), "node", "left").withColumn("group", F.coalesce("component", "node"))
     best = cut(known.groupBy("group").agg(F.min("top").alias("first")))
     known = cut(known.join(best.hint("merge"), "group").select("kind", "first"))

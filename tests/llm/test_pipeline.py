@@ -8,7 +8,7 @@ import corpus_pipeline as cp
 import numpy as np
 from pyspark.sql import functions as F
 
-from meridian.llm import pieces, quality, registry, simhash
+from meridian.llm import common, pieces, quality, registry, simhash
 
 D = "/root/testdata/sf0.01"
 
@@ -194,3 +194,53 @@ def test_near_copies_spare_the_driver(spark):
     finally:
         spark.sparkContext._jsc.sc().clearJobGroup()
     assert 20 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("near")) < 200
+
+
+def test_blocks_and_rounds_send_few_links(spark, monkeypatch):
+    # Two crowds in blocks of 8: pairs within a block meet wherever it meets another, and rounds would send again what is linked already.
+    rng, texts = np.random.default_rng(7), []
+    for f in range(2):
+        for _ in range(80):
+            w = [f"w{f}_{i}" for i in range(150)]
+            for k in rng.integers(0, 150, rng.integers(0, 4)):
+                w[k] = f"x{rng.integers(10**9)}"
+            texts.append(" ".join(w))
+    sets, fps = [shingles(t) for t in texts], [simhash.wide_fingerprint(simhash.shingle_hashes(t, 5)) for t in texts]
+    most = int(448 * (math.acos(1.6 / 1.8) / math.pi + 0.05))
+    links = []
+    for i, j in combinations(range(len(texts)), 2):
+        bits = int.from_bytes((fps[i] ^ fps[j]).tobytes(), "little")
+        if bits.bit_count() <= most and any((bits >> 24 * s & 0xFFFFFF).bit_count() <= 1 for s in range(18)) and jaccard(sets[i], sets[j]) >= 0.8:
+            links.append((i, j))
+    sent, components = [], simhash.components
+
+    def counted(edges):
+        sent.append(edges.count())
+        return components(edges)
+
+    monkeypatch.setattr(simhash, "components", counted)
+    monkeypatch.setattr(simhash, "WIDE_BLOCK", 8)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["first_id"] for r in sorted(simhash.near_copies(d.repartition(3)).collect())] == roots(len(texts), links)
+    assert len(links) > 20 * len(texts) and sum(sent) < 2 * len(texts)
+
+
+def test_components_of_a_dense_group_join_few_rows(spark):
+    # Of 100 nodes that are all linked, 9,900 rows of links go out once; every round sent them all before.
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = lambda: {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    before = runs()
+    pairs = [(a + 7, b + 7) for a, b in combinations(range(100), 2)] + [(200 + i, 201 + i) for i in range(30)]
+    got = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {i + 7: 7 for i in range(100)} | {200 + i: 200 for i in range(31)}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    rows = 0
+    for id in runs() - before:
+        values, nodes = store.executionMetrics(id), store.planGraph(id).allNodes()
+        for k in range(nodes.size()):
+            node = nodes.apply(k)
+            metrics = node.metrics()
+            for m in (metrics.apply(x) for x in range(metrics.size())):
+                if "Join" in node.name() and m.name() == "number of output rows" and (v := values.get(m.accumulatorId())).isDefined():
+                    rows += int(v.get().replace(",", ""))
+    assert 9900 < rows < 2 * 9900

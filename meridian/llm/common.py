@@ -89,6 +89,13 @@ def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Record
     return pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, name])
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows: what is made of texts at once stays small, and workers keep the memory that they once had."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def beside(ids: pa.Array, rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     """A batch of ``ids`` as they came, so that nulls and ids beyond 2**53 stay exact, and the rows' values."""
     values = zip(*rows) if rows else [()] * (len(kinds) - 1)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, grouped, in_blocks, kept_table, roots_of, shared_folder, spanning
+from .common import components, cut, grouped, in_blocks, in_slices, kept_table, roots_of, shared_folder, spanning
 
 BLOCK, WIDE_BLOCK = 64, 1024
 
@@ -266,7 +266,7 @@ def _nearest(most: int, segment: int, forests: int | None = 1, reach: int | None
 
 def _alike(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             ok = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                 x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
@@ -299,7 +299,7 @@ def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, longs: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             n, fps, sets, kinds = [], [], [], []
             for t in batch.column("t").to_pylist():
                 h = shingle_hashes(t, words)
